@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.shipping import ship
+
 #: The six ASCII white-space characters: tab, line feed, vertical tab, form feed, carriage return, space.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +39,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: like ``cut_lineage``, but compressed and with columns that can be left out."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kindred-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; ``lower`` alone would also fold letters outside ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
