@@ -300,7 +300,7 @@ def _several(held: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``, and ``uid``, by which its rows differ."""
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``; ``uid`` (its place in ``docs``) and ``comp`` (the component's name by uid) tell rows apart that doc_id does not."""
     table = _prefix_table(docs)
     rep = cut_lineage(table.where("full AND n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep")))
     sets = table.where("tokens IS NOT NULL").join(rep.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "shared", "tokens", "counts", "single")
@@ -336,4 +336,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = rows.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     named = shared_table(named)
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "comp").select("doc_id", "n_shingles", "component_id", "uid")
+    return named.join(least, "comp").select("doc_id", "n_shingles", "component_id", "uid", "comp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, null last.
+
+    Rows are told apart by their place, so ``docs`` must be read from a table, whose rows have the same place each time.
+    """
+    first = jaccard_components(docs).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m")).select(F.col("m.uid").alias("__kept"))
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    return placed.join(first, placed["__place"] == first["__kept"], "left_semi").drop("__place")
