@@ -1,3 +1,69 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""The corpus pipeline: five operators of ``kindred.llm`` one after the other.
+
+Each stage takes all that the one before has kept and returns the columns of documents; the last gives the encoded
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.llm._common import shared_table, table
+from kindred.llm.decontaminate import decontaminate
+from kindred.llm.linedup import dedup_lines
+from kindred.llm.ngram_join import one_of_each
+from kindred.llm.quality import score_quality
+from kindred.llm.queries import tokenizer_path
+from kindred.llm.sentencepiece_lattice import encode
+from kindred.shipping import ship
+
+#: The classifier, line removal and joins cannot be told exactly in SQL.
+ORACLE_SQL = None
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more share; all documents stay, be it without text."""
+    return _sized(dedup_lines(docs, min_docs=10, min_chars=1), docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies."""
+    ship(spark)
+    return one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of test items; those that are mostly such passages go."""
+    return _sized(decontaminate(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document."""
+    ship(spark)
+    return encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece_encoding", sentencepiece_encoding),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
