@@ -3,18 +3,23 @@
 A document's set holds the hashes of its five-word shingles (its tokens). Two sets link at Jaccard 0.75.
 
 Global order: tokens by the number of sets that hold them, rare ones first. Links of a set of n tokens overlap it in
-at least o = ceil(0.75 n) tokens, so linked sets share a token among their first n - o + 1, and two tokens among
-their first n - o + 2: the prefix extended by one. A rare token of the prefix is a key by itself; of frequent tokens
-only pairs within the extended prefix are keys. Sets that share a rare prefix token meet in the first index; others
-share two tokens of the extended prefix, both frequent, and meet in the second.
+at least o = ceil(0.75 n) tokens, so linked sets share a token among their first n - o + 1, and m + 1 tokens among
+their first n - o + 1 + m: the prefix extended by m. A rare token of the prefix is a key by itself. Frequent tokens
+of the extended prefix fall into m classes, by hash, and only pairs of one class are keys. If the first token that
+linked sets share is rare, they meet at it; if not, they share m + 1 frequent tokens of the extended prefix, two of
+these are of one class, and they meet at that pair. With m in proportion to the prefix the pairs are in proportion
+to it too. m depends on the size's power of two; a set that may be the larger of a linked pair of two powers is
+indexed under both.
 
 Passages shared by many texts come last in the order, so they are part of a prefix only where nearly all of the text
 is such passages. What one text alone holds comes first and needs no index: a text of which more than a quarter is
 found nowhere else drops out before any candidate is made.
 
-Components need no more than one verified chain of links, so pairs are tried in rounds: first each set with one
-leader (linear in the sets), then, at the keys that still hold several components, each set with the key's leader
-where that is of another, and last all pairs across components, whatever their number: no link between components is lost.
+Components need no more than one verified chain of links, so no pairs within a key are made. Rounds try each set with
+one leader, a least set of its keys: linear in the keys. What keys still hold of several components is then split
+into families, sets connected by such keys, and these into blocks of bounded size; a task compares two blocks, all
+sets of one with all of the other, and gives a link for each two components that it finds joined. No link between
+components is lost. This last step takes rows in proportion to the family's size times its blocks.
 
 Tokens travel as sorted, compressed blobs, one for each batch of documents and range of tokens. Tokens that a
 documented sample shows in one text of a hundred do not travel to be counted: they are the end of the order. The
@@ -46,8 +51,10 @@ RARE = 16
 MOST = 1 << 16
 #: Rows of the sample for tokens that very many texts hold, and the share of its rows that makes one.
 SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 20_000, 0.01, 100
+#: Rounds with leaders, and sets in a block of what is left after them.
+LEADER_ROUNDS, BLOCK_SETS = 2, 256
 #: Tokens gathered in a task before they are sent on, and tokens in one range.
-FLUSH, RANGE_TOKENS = 2_000_000, 4_000_000
+FLUSH, RANGE_TOKENS = 3_000_000, 4_000_000
 #: Odd multipliers of the words' hashes in a shingle, by place.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BLOB = "key int, a binary, b binary, c binary"
@@ -108,6 +115,11 @@ def _heavy_tokens(rows: DataFrame, n_rows: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in counted.select("token").collect()], np.int64).view(np.uint64))
 
 
+def _classes(n: int) -> int:
+    """Classes of frequent tokens for sets of about ``n`` tokens: an eighth of the power of two not above n, which is half of the prefix or more."""
+    return max(1, (1 << n.bit_length() - 1) // 8) if n else 1
+
+
 def _prefix_table(docs: DataFrame) -> DataFrame:
     """A row for each document: ``uid, doc_id, k1, k2, n, full``, and where any candidate is possible ``shared`` (its
     tokens that other sets hold too), and the extended prefix's ``tokens`` with their ``counts``; ``single`` is how
@@ -200,12 +212,12 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
 
     def by_set(u: np.ndarray, t: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
         home = ((u.view(np.uint64) * MIX[0]) >> np.uint64(33)) % np.uint64(ranges)
-        order = np.argsort(home, kind="stable")
+        order = np.lexsort((u, home))  # by set, so that the ids compress
         u, t, df, home = u[order], t[order], df[order], home[order]
         edges = np.searchsorted(home, np.arange(1, ranges, dtype=np.uint64))
         for k, (x, y, z) in enumerate(zip(*(np.split(v, edges) for v in (u, t, df)), strict=True)):
             if len(x):
-                yield send(k, _pack(np.concatenate([x, y.view(np.int64)])), b"t", _pack(z))
+                yield send(k, _pack(x, True), _pack(y), _pack(z))
 
     def about_home(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -226,9 +238,8 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
                     infos.append(_unpack(a, np.int64).reshape(-1, 5))
                     nulls.append(_unpack(c, np.uint8))
                 else:
-                    both = _unpack(a, np.int64)
-                    us.append(both[: len(both) // 2])
-                    ts.append(both[len(both) // 2 :])
+                    us.append(_unpack(a, np.int64, True))
+                    ts.append(_unpack(b, np.int64))
                     dfs.append(_unpack(c, np.int32))
         if not infos:
             return
@@ -243,7 +254,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
                 n, full = n2 // 2, bool(n2 % 2)
                 first = n - -(-3 * n // 4) + 1 - (n - (b - a))  # tokens of the prefix that others hold
                 some = full and first > 0
-                more = min(first + 1, b - a)
+                more = min(first + _classes(n), b - a)
                 for column, x in zip(out, (uid, None if nodoc else doc, k1, k2, n, full, t[a:b] if some else None, t[a : a + more] if some else None, df[a : a + more] if some else None, min(first, b - a) if some else 0), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
@@ -286,50 +297,116 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _index(sets: DataFrame) -> DataFrame:
+    """``key, uid``: rare tokens of the plain prefix, and pairs within a class of frequent tokens of the extended one."""
+    schema = "key long, uid long"
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for uid, n, tokens, counts, single in zip(*(part.column(c) for c in ("uid", "n", "tokens", "counts", "single")), strict=True):
+                t = np.asarray(tokens.values).view(np.uint64)
+                frequent = np.asarray(counts.values) > RARE
+                n, first = n.as_py(), single.as_py()
+                found = [t[:first][~frequent[:first]]]
+                if frequent[:first].any():
+                    for m in {_classes(n), _classes(-(-3 * n // 4))}:
+                        x = t[: first + m][frequent[: first + m]]
+                        of = (x * MIX[2] >> np.uint64(33)) % np.uint64(m)
+                        order = np.lexsort((x, of))
+                        x, of = x[order], of[order]
+                        for step in range(1, len(x)):
+                            same = of[step:] == of[:-step]
+                            if not same.any():
+                                break
+                            pair = (x[:-step] * MIX[3] + x[step:] * MIX[4] + np.uint64(m)) * MIX[0]
+                            found.append(pair[same])
+                key = np.concatenate(found)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), uid.as_py(), np.int64))], ["key", "uid"])
+
+    index = sets.select("uid", "n", "tokens", "counts", "single").mapInArrow(keys, schema)
+    return index
+
+
 def _leaders(held: DataFrame) -> DataFrame:
-    """Pairs of each set with one of the least sets that it shares keys with: that of most keys."""
-    least = held.groupBy("key").agg(F.min("uid").alias("b"))
-    shared = held.join(least, "key").where("uid <> b").groupBy("uid", "b").agg(F.count("*").alias("c"))
+    """Pairs ``(a, b)`` of sets ``a`` and the least set of another component at their keys: of these, that of most keys."""
+    least = held.groupBy("key").agg(F.min(F.struct(F.col("uid").alias("b"), F.col("comp").alias("cb"))).alias("l"))
+    shared = held.join(least, "key").where("comp <> l.cb").groupBy("uid", F.col("l.b").alias("b")).agg(F.count("*").alias("c"))
     return shared.groupBy("uid").agg(F.max(F.struct(F.col("c"), (-F.col("b")).alias("nb"))).alias("m")).select(F.col("uid").alias("a"), (-F.col("m.nb")).alias("b"))
 
 
 def _several(held: DataFrame) -> DataFrame:
-    """The rows of ``held`` whose key still holds several components."""
+    """The rows of ``held`` whose key holds several components."""
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return held.join(mixed, "key", "left_semi")
 
 
+def _joined(group: pa.Table) -> pa.Table:
+    """Links between the components of two blocks, one for each two components: all sets of one against all of the other."""
+    first, second = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+    uid, n, comp = (group.column(c).to_numpy() for c in ("uid", "n", "comp"))
+    blk = np.array(group.column("blk").to_pylist())
+    shared = group.column("shared").combine_chunks()
+    size = np.diff(shared.offsets.to_numpy())
+    token = np.unique(np.asarray(shared.values)[shared.offsets[0].as_py() : shared.offsets[-1].as_py()], return_inverse=True)[1]
+    row = np.repeat(np.arange(len(uid)), size)
+    a, b = np.flatnonzero(blk == first), np.flatnonzero(blk == second)
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    place_a, place_b = np.full(len(uid), -1), np.full(len(uid), -1)
+    place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    step = 4096
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        x, y = np.searchsorted(token, (at, at + step))
+        t, r = token[x:y] - at, row[x:y]
+        ones = []
+        for place in (place_a, place_b):
+            m = np.zeros((int(place.max()) + 1, step), np.float32)
+            inside = place[r] >= 0
+            m[place[r[inside]], t[inside]] = 1
+            ones.append(m)
+        overlap += ones[0] @ ones[1].T
+    union = n[a][:, None] + n[b][None, :] - overlap
+    i, j = np.nonzero((100 * overlap >= 75 * union) & (comp[a][:, None] != comp[b][None, :]))
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True):
+        seen.setdefault((min(comp[x], comp[y]), max(comp[x], comp[y])), (uid[x], uid[y]))
+    return pa.table([pa.array([x for x, _ in seen.values()], pa.int64()), pa.array([y for _, y in seen.values()], pa.int64())], ["a", "b"])
+
+
+def _across(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components that the keys of ``held`` (key, uid, comp) hold, block by block."""
+    least = held.groupBy("key").agg(F.min("uid").alias("b"))
+    touch = held.join(least, "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    members = cut_lineage(held.select("uid", "comp").distinct())
+    family = merge_components(members.select("uid", F.col("uid").alias("comp")), touch).withColumnRenamed("comp", "fam")
+    members = members.join(family, "uid")
+    sizes = members.groupBy("fam", "comp").agg(F.count("*").alias("c"))
+    # a large component has blocks of its own, which need not meet each other; small ones share blocks
+    big = F.col("c") >= BLOCK_SETS
+    placed = members.join(sizes, ["fam", "comp"]).withColumn("grp", F.when(big, F.col("comp")).otherwise(-1))
+    totals = sizes.groupBy("fam", F.when(big, F.col("comp")).otherwise(-1).alias("grp")).agg(F.ceil(F.sum("c") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = placed.join(totals, ["fam", "grp"]).select("uid", "fam", "comp", "grp", F.concat_ws(":", F.col("grp").cast("string"), F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("string")).alias("blk"))
+    blocks = totals.select("fam", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("fam", F.col("grp").alias("g2"), F.concat_ws(":", F.col("grp").cast("string"), F.col("i").cast("string")).alias("blk2"))
+    met = placed.join(blocks, "fam").where("grp = -1 OR grp <> g2").select("uid", "fam", "comp", "blk", F.least("blk", "blk2").alias("p"), F.greatest("blk", "blk2").alias("q"))
+    return met.join(sets.select("uid", "n", "shared"), "uid").groupBy("fam", "p", "q").applyInArrow(_joined, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``; ``uid`` (its place in ``docs``) and ``comp`` (the component's name by uid) tell rows apart that doc_id does not."""
     table = _prefix_table(docs)
     rep = cut_lineage(table.where("full AND n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep")))
     sets = table.where("tokens IS NOT NULL").join(rep.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "shared", "tokens", "counts", "single")
     sets = shared_table(sets)
-
-    # the first index: tokens of the plain prefix, each by itself
-    entries = F.arrays_zip(F.col("tokens").alias("key"), F.col("counts").alias("df"))
-    singles = sets.select("uid", "n", F.explode(F.slice(entries, F.lit(1), F.col("single"))).alias("e")).select("uid", "n", "e.key", "e.df")
+    index = shared_table(_index(sets))
     labels = sets.select("uid", F.col("uid").alias("comp"))
-    labels = merge_components(labels, _verified(_leaders(singles), sets))
-
-    rare = _several(singles.where(F.col("df") <= RARE).join(labels, "uid"))
-    # the second index: pairs of frequent tokens of the extended prefix, of those that still hold several components
-    longer = sets.select("uid", "n", F.explode(entries).alias("e")).select("uid", "n", "e.key", "e.df").where(F.col("df") > RARE)
-    live = _several(longer.join(labels, "uid")).groupBy("uid", "n", "comp").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    pairs_of = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    combos = _several(live.select("uid", "n", "comp", F.explode(pairs_of).alias("key")))
-    held = shared_table(rare.select("uid", "n", "comp", "key").unionByName(combos.select("uid", "n", "comp", "key")))
-
-    # each set with the least set at its keys, where that is of another component
-    lead = held.groupBy("key").agg(F.min(F.struct(F.col("uid").alias("b"), F.col("comp").alias("cb"))).alias("l"))
-    other = held.join(lead, "key").where("comp <> l.cb").select(F.col("uid").alias("a"), F.col("l.b").alias("b")).distinct()
-    labels = merge_components(labels, _verified(other, sets))
-
-    # all that is left across components
-    held = shared_table(_several(held.drop("comp").join(labels, "uid")))
-    left, right = held.select("key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), held.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))).select("a", "b").distinct()
-    labels = merge_components(labels, _verified(across, sets))
+    held = index
+    for _ in range(LEADER_ROUNDS):
+        labels = merge_components(labels, _verified(_leaders(held.join(labels, "uid")), sets))
+        held = cut_lineage(_several(held.join(labels, "uid"))).select("key", "uid")
+    held = held.join(labels, "uid")
+    labels = merge_components(labels, _across(held, sets))
 
     rows = table.select("uid", "doc_id", "n", "k1", "k2").join(rep, ["k1", "k2"], "left")
     rows = rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("rep"))
