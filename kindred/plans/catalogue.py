@@ -660,3 +660,64 @@ def content_identity(spark, sf):
 def integer_functions(spark, sf):
     k = F.col("o_orderkey")
     return _t(spark, sf, "orders").select("o_orderkey", ints.isqrt(k * 977).alias("root"), ints.idiv(k - 7000, 37).alias("quotient"), ints.clamp(k - 100, 0, 5000).alias("held"))
+
+
+# ---- pictures ----
+@query()
+def image_records(spark, sf):
+    """Records of made-up pictures: of four, one plain, its mirror, its enlargement, and a damaged one."""
+    from kindred.operators import images
+
+    return images.image_records(images.synthetic_images(spark, 200))
+
+
+@query()
+def image_compare(spark, sf):
+    """Each plain picture with its mirror and enlargement: the runs channel over rows, columns and diagonals is that of the same texture."""
+    from kindred.operators import images
+
+    r = images.image_records(images.synthetic_images(spark, 200)).where("reason IS NULL").select(F.floor(F.col("work_id") / 4).alias("base"), (F.col("work_id") % 4).cast("int").alias("kind"), F.col("runs")[0].cast("array<bigint>").alias("h"), "colours")
+    a, b = r.where("kind = 0").select("base", F.col("h").alias("ha"), F.col("colours").alias("ca")), r.where("kind > 0").select("base", "kind", F.col("h").alias("hb"), F.col("colours").alias("cb"))
+    return sequences.runs_channel(a.join(b, "base")).select("base", "kind", "raw", "control", "measurable", "value", (F.col("ca") == F.col("cb")).alias("same_colours"))
+
+
+# ---- streams ----
+def _shared(spark: SparkSession) -> str:
+    """A new folder in the place that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kindred-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    """Daily counts by a stream that has read all there is: windows with a watermark, each event once."""
+    from kindred.streaming import ingest
+
+    schema = _t(spark, sf, "events").schema
+    folder = _shared(spark)
+    events = ingest.read_events(spark, f"{sf}/events*.parquet", schema)
+    counts = ingest.windowed_counts(events, "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "cents")
+    # in update mode each batch gives the windows it changed; the last state of each is the result
+    table = ingest.StagedTable(spark, f"{folder}/table", "id", "batch", "n")
+    ingest.run_to_end(counts, f"{folder}/state", mode="update", batch=lambda df, k: table.apply(df.withColumn("id", F.concat_ws("|", "day", "event_type")).withColumn("batch", F.lit(k)), k))
+    return table.read().select("day", "event_type", "n", "cents")
+
+
+@query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_ingest(spark, sf):
+    """The last event of each user, kept up to date by micro-batches that may come twice."""
+    from kindred.streaming import ingest
+
+    schema = _t(spark, sf, "events").schema
+    folder = _shared(spark)
+    table = ingest.StagedTable(spark, f"{folder}/table", "user_id", "ts", "event_id")
+
+    def twice(df: DataFrame, k: int) -> None:
+        table.apply(df, k)
+        table.apply(df, k)
+
+    ingest.run_to_end(ingest.read_events(spark, f"{sf}/events*.parquet", schema).select("user_id", "ts", "event_id", "event_type"), f"{folder}/state", batch=twice)
+    return table.read().select("user_id", "ts", "event_id", "event_type")

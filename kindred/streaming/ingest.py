@@ -54,7 +54,7 @@ def run_to_end(stream: DataFrame, checkpoint: str, **sink) -> None:
     """Run a stream over all that is there. ``sink``: ``batch`` (a function of a frame and a number), or ``table`` and ``mode`` for memory."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if "batch" in sink:
-        query = writer.foreachBatch(sink["batch"]).start()
+        query = writer.foreachBatch(sink["batch"]).outputMode(sink.get("mode", "append")).start()
     else:
         query = writer.format("memory").queryName(sink["table"]).outputMode(sink.get("mode", "append")).start()
     query.awaitTermination()
