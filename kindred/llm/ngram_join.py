@@ -50,11 +50,11 @@ RARE = 16
 #: Counts above this are equal in the order.
 MOST = 1 << 16
 #: Rows of the sample for tokens that very many texts hold, and the share of its rows that makes one.
-SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 20_000, 0.01, 100
+SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 4_000, 0.01, 40
 #: Rounds with leaders, and sets in a block of what is left after them.
 LEADER_ROUNDS, BLOCK_SETS = 2, 256
 #: Tokens gathered in a task before they are sent on, and tokens in one range.
-FLUSH, RANGE_TOKENS = 3_000_000, 4_000_000
+FLUSH, RANGE_TOKENS = 1_500_000, 4_000_000
 #: Odd multipliers of the words' hashes in a shingle, by place.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BLOB = "key int, a binary, b binary, c binary"
@@ -64,7 +64,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -173,7 +173,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 full = key not in seen
                 if full:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
                     tokens.append(s)
@@ -192,7 +192,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
         for part in parts:
             for key, a, b, c in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if b == b"d":
-                    yield send(key, a, b, c)
+                    yield from about_home(a, c)
                 elif b == b"h":
                     u, t = _unpack(a, np.int64), _unpack(c, np.uint64, True)
                     yield from by_set(u, t, np.full(len(u), MOST, np.int32))
@@ -219,16 +219,11 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
             if len(x):
                 yield send(k, _pack(x, True), _pack(y), _pack(z))
 
-    def about_home(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for key, a, b, c in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if b != b"d":
-                    yield send(key, a, b, c)
-                    continue
-                info, null = _unpack(a, np.int64).reshape(-1, 5), _unpack(c, np.uint8)
-                home = ((np.ascontiguousarray(info[:, 0]).view(np.uint64) * MIX[0]) >> np.uint64(33)) % np.uint64(ranges)
-                for k in np.unique(home):
-                    yield send(int(k), _pack(np.ascontiguousarray(info[home == k]).reshape(-1)), b"d", _pack(null[home == k]))
+    def about_home(a: bytes, c: bytes) -> Iterator[pa.RecordBatch]:
+        info, null = _unpack(a, np.int64).reshape(-1, 5), _unpack(c, np.uint8)
+        home = ((np.ascontiguousarray(info[:, 0]).view(np.uint64) * MIX[0]) >> np.uint64(33)) % np.uint64(ranges)
+        for k in np.unique(home):
+            yield send(int(k), _pack(np.ascontiguousarray(info[home == k]).reshape(-1)), b"d", _pack(null[home == k]))
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         infos, nulls, us, ts, dfs = [], [], [], [], []
@@ -260,7 +255,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["uid", "doc_id", "k1", "k2", "n", "full", "shared", "tokens", "counts", "single"])
 
-    counted = rows.mapInArrow(read, _BLOB).repartition(width, "key").mapInArrow(count, _BLOB).mapInArrow(about_home, _BLOB)
+    counted = rows.mapInArrow(read, _BLOB).repartition(width, "key").mapInArrow(count, _BLOB)
     schema = "uid long, doc_id long, k1 long, k2 long, n long, full boolean, shared array<long>, tokens array<long>, counts array<int>, single int"
     return shared_table(counted.repartition(width, "key").mapInArrow(prefixes, schema))
 
