@@ -50,7 +50,7 @@ def luhn(digits: Column) -> Column:
 
 
 def _small(part: Column) -> Column:
-    bare = F.ltrim(F.lit("0"), part)
+    bare = F.ltrim(part, F.lit("0"))
     return (F.length(bare) <= 3) & (F.coalesce(bare.try_cast("int"), F.lit(0)) <= 255)
 
 
