@@ -16,7 +16,7 @@ from kindred.llm.linedup import dedup_lines
 from kindred.llm.ngram_join import jaccard_components
 from kindred.llm.pii import KINDS, count_kind, find_personal_data, spans_text
 from kindred.llm.quality import score_quality
-from kindred.llm.sentencepiece_lattice import decode, encode
+from kindred.llm.sentencepiece_lattice import encode
 from kindred.llm.token_counts import count_tokens
 from kindred.llm.warc import archive_pages, read_warc
 
@@ -28,13 +28,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded, and decoded again: the digests of its ids (as text, with spaces between) and of its decoded text."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    back = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    """Every document encoded and decoded again, with hashes of its ids and of its decoded text."""
+    back = encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), back=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.xxhash64("ids").alias("ids_hash"),
         F.char_length("text").cast("long").alias("n_chars_decoded"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )

@@ -5,11 +5,14 @@
    are grouped by word again where they lie.
 3. A fold with ``aggregate`` finds the path. The model at hand is a merge model: its encoding is not the path of the
    best sum of scores, which a Viterbi fold would give (tests show texts where the two differ), but that of the
-   merges, best piece first, leftmost of equals. The fold therefore keeps the cuts of the word, and each step takes
-   the best edge that joins two neighbouring parts.
-4. Documents are put together from the words in blocks. Words travel to the lattice, and paths back to the blocks,
-   as sorted compressed blobs; texts travel compressed, once. Words longer than ``LONGEST`` characters, which are
-   few, are merged in the blocks, by the same rule with a heap; so is any word that a block should lack.
+   merges, best piece first, leftmost of equals. The state is the set of cuts that are left in the word; the edges
+   come in the order of their rank, and one that joins two neighbouring parts removes the cut between them.
+   One pass is enough where each piece, merged alone, takes steps of rising rank: then, in any word, no merge makes a
+   better one possible. That is proved piece by piece when the model is read; the few other pieces are marked, and
+   a word with such an edge is merged by a heap, by the rule itself. So are words of more than ``LONGEST``
+   characters and runs of spaces.
+4. Documents are put together from the words in blocks. Words travel to the lattice, and paths back to the blocks, as
+   sorted compressed blobs; documents travel as the places of their words, compressed, once, in the same shuffle.
 
 The piece table is the only thing broadcast: the vocabulary's file bounds it.
 
@@ -25,6 +28,7 @@ import pickle
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm._common import shared_table
-
 SPACE = "▁"
 LONGEST = 40
 #: Bytes of text in a block.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 _models: dict[str, "Pieces"] = {}
 
 
@@ -72,10 +74,27 @@ class Pieces:
         # a word may begin at each space after another character, and a line feed may stand alone, if no piece says otherwise
         if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in self.id):
             raise NotImplementedError("a model with pieces of several words")
+        self.unproved = {p for p in self.id if len(p) > 1 and not self._rises(p)}
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
+    def _rises(self, piece: str) -> bool:
+        """Whether the piece, merged alone, comes about by merges of rising rank."""
+        parts, last = list(piece), -1
+        while len(parts) > 1:
+            found = [(self.rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.rank]
+            if not found or min(found)[0] <= last:
+                return False
+            last, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return True
+
     def split(self, text: str | None) -> list[str]:
-        return self.words(SPACE + text.replace(" ", SPACE)) if text else []
+        """The text's words: each begins at a space, or is a line feed, or what follows one."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or SPACE in text:
+            return self.words(SPACE + text.replace(" ", SPACE))
+        return list(filter(None, (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")))
 
     def ids(self, parts: Iterator[str]) -> list[int]:
         out: list[int] = []
@@ -131,6 +150,30 @@ def _open(x: bytes) -> object:
     return pickle.loads(zstandard.decompress(x))
 
 
+class _Numbers(dict):
+    """word -> its number, in the order of coming."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _planes(x: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers by planes of their bytes, which compress better apart; empty planes are left out."""
+    planes = x.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return len(x), b"".join(planes[i].tobytes() for i in range(4) if planes[i].any() or i == 0)
+
+
+def _whole(x: tuple[int, bytes]) -> np.ndarray:
+    n, raw = x
+    if not n:
+        return np.empty(0, np.int32)
+    out = np.zeros((n, 4), np.uint8)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i4").reshape(-1)
+
+
 def _home(word: str, ranges: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges
 
@@ -151,111 +194,163 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]
 
 
 def lattice(words: DataFrame, spark: SparkSession, p: Pieces) -> DataFrame:
-    """``word, cuts`` for a table of distinct ``word``: where the word's parts end, from 0 on."""
-    rows = [("", -1)] + [(piece, rank) for piece, rank in p.rank.items() if len(piece) > 1]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, rank int"))
-    words = words.select("word", F.char_length("word").alias("n"), F.xxhash64("word").alias("h"))
-    # placed by the hash before the edges are made, so that grouping them moves nothing
-    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
-    starts = words.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))).alias("s"))
-    # at the first start also the empty substring, whose edge stands for the word itself
-    ends = starts.select("*", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(F.col("s") + 2), F.least(F.col("n"), F.col("s") + p.longest))).alias("e"))
-    edges = ends.select("h", "word", "n", "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece")).where("e <> 1").join(table, "piece")
-    held = edges.groupBy("h", "word", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "s", "e"))).alias("edges"))
-    held = held.withColumn("edges", F.filter("edges", lambda x: x["rank"] >= 0))
-
-    def join_two(cuts, _):
-        at = lambda x: F.array_position(cuts, x)
-        best = F.get(F.filter("edges", lambda x: (at(x["s"]) > 0) & (at(x["e"]) == at(x["s"]) + 2)), F.lit(0))
-        return F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), cuts).otherwise(F.array_remove(cuts, F.element_at(cuts, (at(b["s"]) + 1).cast("int"))))), F.lit(0))
-
-    alone = F.sequence(F.lit(0), F.col("n"))
-    cuts = F.when(F.size("edges") == 0, alone).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), alone, join_two))
-    return held.select("word", F.transform(cuts, lambda x: x.cast("byte")).alias("cuts"))
-
-
-def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and ``ids``, the pieces of each whole text."""
+    """``id, cuts`` for ``(id, word)``: a bit for each place where the word is cut, -1 if the rule itself must tell.
+
+    Words that no piece of several characters is part of have no row: they are cut everywhere.
+    """
+    rows = [(piece, (rank << 16) + ((1 << 40) if piece in p.unproved else 0)) for piece, rank in p.rank.items() if len(piece) > 1]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, rank long"))
+    # placed before the edges are made, so that grouping them moves nothing; neighbours in order together, so that they compress
+    words = words.select("id", "word", F.shiftright("id", 10).alias("near")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "near")
+    starts = words.withColumn("n", F.char_length("word")).where("n > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("s"))
+    ends = starts.select("*", F.explode(F.sequence(F.col("s") + 2, F.least(F.col("n"), F.col("s") + p.longest))).alias("e"))
+    edges = ends.select("near", "id", "n", (F.col("s") * 256 + F.col("e")).alias("at"), F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece")).join(table, "piece")
+    held = edges.select("near", "id", "n", (F.col("rank") + F.col("at")).alias("edge")).groupBy("near", "id", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    one = F.lit(1).cast("long")
+    bit = lambda i: F.call_function("shiftleft", one, i.cast("int"))
+    start, end = lambda x: F.shiftright(x, 8).bitwiseAND(F.lit(255)), lambda x: x.bitwiseAND(F.lit(255))
+    spans = F.transform("edges", lambda x: F.struct((bit(start(x)) + bit(end(x))).alias("ends"), (bit(end(x)) - bit(start(x) + 1)).alias("inside")))
+
+    def join_two(cuts, x):
+        between = cuts.bitwiseAND(x["inside"])
+        fits = (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(between) == 1)
+        return F.when(fits, cuts - between).otherwise(cuts)
+
+    path = F.aggregate(spans, bit(F.col("n") + 1) - 1, join_two)
+    return held.select("id", F.when(F.exists("edges", lambda x: x >= 1 << 40), F.lit(-1).cast("long")).otherwise(path).alias("cuts"))
+
+
+def _ranged(known: list[str], ranges: int) -> list[tuple[int, list[str]]]:
+    """Words by range, each range's in order."""
+    by: dict[int, list[str]] = {}
+    for word in known:
+        by.setdefault(_home(word, ranges), []).append(word)
+    return [(r, sorted(by[r])) for r in sorted(by)]
+
+
+def _sum(words: str) -> int:
+    return zlib.crc32(words.encode("utf-8", "surrogatepass"))
+
+
+def _raw(p: Pieces, ids: list[int]) -> str:
+    said = b"".join(map(p.raw.__getitem__, ids))
+    return said[said.startswith(b" ") :].decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", back: bool = False) -> DataFrame:
+    """``key`` and ``ids``, the pieces of each whole text; with ``back`` also ``text``, decoded from the ids again."""
     spark = docs.sparkSession
     p = pieces(path)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col("text").alias("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     ranges = max(2 * width, chars // (16 << 20))
+    names = ["r", "block", "blob"]
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = pieces(path).split
-        for block, _, texts in _blocks(parts):
-            known: set[str] = set()
-            for text in texts:
-                known.update(split(text))
-            by: list[list[str]] = [[] for _ in range(ranges)]
-            for word in known:
-                if len(word) <= LONGEST:
-                    by[_home(word, ranges)].append(word)
-            full = [(r, sorted(w)) for r, w in enumerate(by) if w]
-            if full:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([_pack(" ".join(w)) for _, w in full], pa.binary())], ["r", "block", "words"])
-
-    asked = shared_table(rows.mapInArrow(gather, "r int, block long, words binary"))
+        """Of each block the words by range, and (r = -1 - block) the documents as places of their words: those of the lattice by range, then the others."""
+        p = pieces(path)
+        for block, keys, texts in _blocks(parts):
+            number = _Numbers()
+            lists = [np.fromiter(map(number.__getitem__, p.split(text)), np.int32) for text in texts]
+            at = np.concatenate(lists)
+            usual = [w for w in number if len(w) <= LONGEST and w[1:2] != SPACE]
+            others = sorted(set(number).difference(usual)) if len(usual) < len(number) else []
+            full = [(r, words, " ".join(words)) for r, words in _ranged(usual, ranges)]
+            place = {w: i for i, w in enumerate(chain(*(words for _, words, _ in full), others))}
+            # frequent words get the small numbers
+            order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            places = np.fromiter(map(place.__getitem__, number), np.int32, len(number))[order]
+            sums = [(r, _sum(text), len(words)) for r, words, text in full]
+            about = _pack((keys, [len(x) for x in lists], sums, others, _planes(places), _planes(rank[at])))
+            blobs = [*(_pack(text) for _, _, text in full), about]
+            yield pa.RecordBatch.from_arrays([pa.array([*(r for r, _, _ in full), -1 - block], pa.int64()), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
+
+    # words and documents lie in one shuffle; its three readers take all columns and rows, so that Spark makes it once
+    sent = rows.mapInArrow(gather, "r long, block long, blob binary").repartition(width, "r")
+
+    def union(blobs: list[bytes]) -> list[str]:
+        known: set[str] = set()
+        for blob in blobs:
+            known.update(_open(blob).split(" "))
+        return sorted(known)
 
     def distinct(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set[str]] = {}
+        by: dict[int, list[bytes]] = {}
         for part in parts:
-            for r, blob in zip(part.column("r").to_pylist(), part.column("words").to_pylist(), strict=True):
-                known.setdefault(r, set()).update(_open(blob).split(" "))
-        for words in known.values():
-            ordered = sorted(words)
+            for r, blob in zip(part.column("r").to_pylist(), part.column("blob"), strict=True):
+                if r >= 0:
+                    by.setdefault(r, []).append(blob.as_py())
+        for r in list(by):
+            ordered = union(by.pop(r))
             for i in range(0, len(ordered), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ordered[i : i + 20_000])], ["word"])
+                some = ordered[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some), dtype=np.int64) + (r << 32)), pa.array(some)], ["id", "word"])
 
-    words = asked.select("r", "words").repartition(width, "r").mapInArrow(distinct, "word string")
-    paths = lattice(words, spark, p).select(F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(ranges)).cast("int").alias("home"), "word", "cuts")
+    words = sent.mapInArrow(distinct, "id long, word string")
+    paths = lattice(words, spark, p).select(F.shiftright("id", 32).alias("home"), F.col("id").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "cuts")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The blocks' words of one range with their ids."""
-        ids = pieces(path).ids
-        told = {w: ids(w[a:b] for a, b in zip(c, c[1:], strict=False)) for w, c in zip(right.column("word").to_pylist(), right.column("cuts").to_pylist(), strict=True)}
-        blobs = []
-        for blob in left.column("words").to_pylist():
-            words = _open(blob).split(" ")
-            lists = [told[w] for w in words]
-            flat = np.fromiter((i for x in lists for i in x), np.int32)
-            blobs.append(_pack((" ".join(words), np.fromiter(map(len, lists), np.int16, len(lists)), flat.astype(np.uint16) if len(flat) and flat.max() < 65536 else flat)))
-        return pa.table([left.column("block"), pa.array(blobs, pa.binary())], ["block", "told"])
-
-    told = asked.groupBy("r").cogroup(paths.groupBy("home")).applyInArrow(answer, "block long, told binary")
-
-    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, texts in _blocks(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack((keys, texts))], pa.binary())], ["at", "texts"])
+        """The ids of the blocks' words of one range, word by word in order."""
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["back_r", "r", "told"])
+        if not left.num_rows or left.column("r")[0].as_py() < 0:
+            return none
+        p = pieces(path)
+        blobs = left.column("blob").to_pylist()
+        cuts = dict(zip(right.column("i").to_pylist(), right.column("cuts").to_pylist(), strict=True))
+        told: dict[str, list[int]] = {}
+        for i, word in enumerate(union(blobs)):
+            mask = cuts.get(i)
+            if mask is None:
+                told[word] = p.ids(iter(word))
+            elif mask < 0:
+                told[word] = p.merged(word)
+            else:
+                at = [k for k in range(len(word) + 1) if mask >> k & 1]
+                told[word] = p.ids(word[a:b] for a, b in zip(at, at[1:], strict=False))
+        out = []
+        for blob in blobs:
+            text = _open(blob)
+            lists = list(map(told.__getitem__, text.split(" ")))
+            flat = np.fromiter(chain.from_iterable(lists), np.int32)
+            lengths = np.fromiter(map(len, lists), np.int32, len(lists))
+            out.append(_pack((_sum(text), _planes(lengths), _planes(flat))))
+        back_r = pa.array(-1 - left.column("block").to_numpy())
+        return pa.table([back_r, left.column("r"), pa.array(out, pa.binary())], ["back_r", "r", "told"])
+
+    told = sent.groupBy("r").cogroup(paths.groupBy("home")).applyInArrow(answer, "back_r long, r long, told binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         p = pieces(path)
-
-        class Known(dict):
-            def __missing__(self, word: str) -> np.ndarray:
-                found = self[word] = np.array(p.merged(word), np.int32)
-                return found
-
-        known = Known()
-        for blob in right.column("told").to_pylist():
-            words, lengths, flat = _open(blob)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            flat = flat.astype(np.int32)
-            known.update(zip(words.split(" "), np.split(flat, ends[:-1]), strict=True))
-        keys, offsets, values = [], [0], []
-        for blob in left.column("texts").to_pylist():
-            for k, text in zip(*_open(blob), strict=True):
-                ids = [known[w] for w in p.split(text)]
-                keys.append(k)
-                values.append(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                offsets.append(offsets[-1] + len(values[-1]))
-        flat = np.concatenate(values) if values else np.empty(0, np.int32)
-        return pa.table([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], ["key", "ids"])
-
-    texts = rows.mapInArrow(packed, "at long, texts binary")
-    return texts.groupBy("at").cogroup(told.groupBy("block")).applyInArrow(assemble, "key long, ids array<int>").withColumnRenamed("key", key)
+        known = {r: _open(blob) for r, blob in zip(right.column("r").to_pylist(), right.column("told").to_pylist(), strict=True)}
+        keys, sizes, values = [], [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+        for blob in left.column("blob").to_pylist() if left.num_rows and left.column("r")[0].as_py() < 0 else ():
+            names, counts, sums, others, places, at = _open(blob)
+            own = [np.array(p.merged(w), np.int32) for w in others]
+            if any(known[r][0] != check or known[r][1][0] != n for r, check, n in sums):
+                raise ValueError("the documents were not the same when they were read again")
+            length = np.concatenate([*(_whole(known[r][1]) for r, _, _ in sums), np.array([len(x) for x in own], np.int32)]).astype(np.int64)
+            ids = np.concatenate([*(_whole(known[r][2]) for r, _, _ in sums), *own, np.empty(0, np.int32)])
+            start = np.cumsum(length) - length
+            at = _whole(places)[_whole(at)]
+            n = length[at]
+            # the ids of word after word, some at a time: each place's start, and from there on one by one
+            for i in range(0, len(at), 200_000):
+                m = n[i : i + 200_000]
+                ends = np.cumsum(m)
+                values.append(ids[np.arange(ends[-1]) + np.repeat(start[at[i : i + 200_000]] - ends + m, m)])
+            keys += names
+            sizes.append(np.bincount(np.repeat(np.arange(len(counts)), counts), n, len(counts)).astype(np.int64))
+        offsets, flat = np.cumsum(np.concatenate(sizes)), np.concatenate(values)
+        columns = [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+        if back:
+            columns.append(pa.array([_raw(p, flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
+        return pa.table(columns, ["key", "ids", "text"][: len(columns)])
+
+    made = sent.groupBy("r").cogroup(told.groupBy("back_r")).applyInArrow(assemble, "key long, ids array<int>" + ", text string" * back)
+    return made.withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -265,12 +360,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = pieces(path).raw
+        p = pieces(path)
         for part in parts:
             texts = []
             for ids in part.column("ids"):
-                said = b"".join(map(raw.__getitem__, ids.values.to_pylist() if ids.is_valid else ()))
-                texts.append(said[said.startswith(b" ") :].decode("utf-8", "replace"))
+                texts.append(_raw(p, ids.values.to_pylist() if ids.is_valid else []))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     return rows.mapInArrow(batches, f"{kinds}, text string")
