@@ -226,3 +226,80 @@ def synthetic_images(spark: SparkSession, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["work_id", "w", "h", "px"])
 
     return spark.range(n).mapInArrow(batches, "work_id long, w int, h int, px binary")
+
+
+# ---- frequency blocks and symmetric codes ----
+ONE = 1 << 14
+
+
+def cosines(n: int) -> np.ndarray:
+    """Rounded cosines, odd or even about the middle exactly."""
+    u, i = np.arange(n)[:, None], np.arange(n)[None, :]
+    return np.rint(ONE * np.cos((2 * i + 1) * u * np.pi / (2 * n))).astype(np.int64)
+
+
+def frequencies(block: np.ndarray) -> np.ndarray:
+    """The transform of a square block, its exact double sum rounded once and alike for both signs, so that flips only change signs."""
+    t = cosines(len(block))
+    total = t @ block.astype(np.int64) @ t.T
+    size = (np.abs(total) + (ONE * ONE >> 1)) >> 28
+    return np.where(total < 0, -size, size)
+
+
+def sign_and_magnitude(coefficients: np.ndarray, bits: int) -> list[int]:
+    """For each coefficient its sign and the Gray code of its magnitude's class among the block's own; the first one, the mean, is left out."""
+    flat = coefficients.reshape(-1)
+    size = np.sort(np.abs(flat[1:]))
+    levels = 1 << (bits - 1)
+    cuts = [size[min(i * len(size) // levels, len(size) - 1)] for i in range(1, levels)]
+    # the classes are counted in order up to the first cut that is not reached; the cuts rise, so a search says the same
+    level = np.searchsorted(cuts, np.abs(flat), side="right")
+    code = ((flat < 0).astype(np.int64) << (bits - 1)) | (level ^ level >> 1)
+    code[0] = 0
+    return code.tolist()
+
+
+def frequency_codes(thumb: np.ndarray) -> list[int]:
+    """The codes of one block of 16, four of 8 (2 bits each) and sixteen of 4 (4 bits each), one after the other."""
+    out = sign_and_magnitude(frequencies(thumb), 2)
+    for size, bits in ((8, 2), (4, 4)):
+        for y in range(0, THUMB, size):
+            for x in range(0, THUMB, size):
+                out += sign_and_magnitude(frequencies(thumb[y : y + size, x : x + size]), bits)
+    return out
+
+
+def symmetries(cell: np.ndarray) -> list[np.ndarray]:
+    """The eight turns and flips of a square."""
+    return [np.rot90(x, k) for x in (cell, cell.T) for k in range(4)]
+
+
+def canonical_code(cell: np.ndarray, fold_inverse: bool = True) -> int:
+    """64 cells as one code: which lie above the median, the least over all turns and flips, and over the complement."""
+    low = np.sort(cell.reshape(-1))[31]
+    words = [int("".join("1" if b else "0" for b in (x > low).reshape(-1)), 2) for x in symmetries(cell)]
+    if fold_inverse:
+        words += [w ^ ((1 << 64) - 1) for w in words]
+    return min(words)
+
+
+def components(labels: np.ndarray) -> np.ndarray:
+    """Regions of equal labels that touch at sides, numbered in the order of their first pixel; -1 where the label is negative."""
+    h, w = labels.shape
+    place = np.arange(h * w).reshape(h, w)
+    place[labels < 0] = -1
+    while True:  # the least place spreads within a region, by whole rows and columns at a time
+        before = place.copy()
+        for axis in (0, 1):
+            for flip in (False, True):
+                p, lab = (np.flip(place, axis), np.flip(labels, axis)) if flip else (place, labels)
+                p, lab = (p, lab) if axis == 0 else (p.T, lab.T)
+                for k in range(1, len(p)):
+                    same = (lab[k] == lab[k - 1]) & (lab[k] >= 0)
+                    np.minimum(p[k], p[k - 1], out=p[k], where=same)
+        if (place == before).all():
+            break
+    out = np.full(labels.shape, -1)
+    roots, numbered = np.unique(place[place >= 0], return_inverse=True)
+    out[place >= 0] = numbered
+    return out

@@ -48,7 +48,8 @@ def nominate(queries: DataFrame, postings: DataFrame, excluded: DataFrame | None
     counted at all. Gives ``query, id, codes, bands, rc, rb``: weights and ranks by kind.
     """
     asked = queries.select(F.col("id").alias("query"), "kind", "key")
-    held = postings.join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    # what is left is placed by key once; the counts and the join both read that
+    held = postings.join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi").repartition("kind", "key")
     live = document_frequencies(held).where(F.col("n") <= cap)
     if excluded is not None:
         held = held.join(excluded.select("id"), "id", "left_anti")

@@ -98,3 +98,21 @@ def test_bad_pictures_have_a_reason():
     assert images.records(2, 2, b"123")[0] == "damaged"
     assert images.records(None, 2, b"")[0] == "damaged"
     assert images.records(20000, 1, bytes(80000))[0] == "limit"
+
+
+def test_frequencies_turn_with_the_block():
+    block = np.random.default_rng(2).integers(0, 256, (16, 16))
+    f, odd = images.frequencies(block), np.where(np.arange(16) % 2, -1, 1)
+    assert (images.frequencies(block[:, ::-1]) == f * odd).all()
+    assert (images.frequencies(block.T) == f.T).all()
+    assert len(images.frequency_codes(block)) == 256 + 256 + 256
+
+
+def test_codes_are_the_same_for_all_symmetries_and_the_inverse():
+    cell = np.random.default_rng(3).permutation(64).reshape(8, 8)
+    assert len({images.canonical_code(x) for x in [*images.symmetries(cell), *(63 - x for x in images.symmetries(cell))]}) == 1
+
+
+def test_components():
+    labels = np.array([[1, 1, 0, 2], [0, 1, 0, 2], [0, 0, 0, 2], [-1, 2, 2, 2]])
+    assert images.components(labels).tolist() == [[0, 0, 1, 2], [1, 0, 1, 2], [1, 1, 1, 2], [-1, 2, 2, 2]]
