@@ -32,7 +32,8 @@ def byte_letters() -> dict[int, str]:
 
 def whole_tokens(tokenizer, suffix: str) -> dict[str, int]:
     """The vocabulary strings, as pre-tokens, that encode alone as exactly one token."""
-    letter = {v: k for k, v in byte_letters().items()}
+    letters = byte_letters()
+    letter = {v: k for k, v in letters.items()}
     found = {}
     for token in tokenizer.get_vocab(with_added_tokens=False):
         if not token.endswith(suffix):
@@ -41,7 +42,7 @@ def whole_tokens(tokenizer, suffix: str) -> dict[str, int]:
             text = bytes(letter[c] for c in token[: len(token) - len(suffix)]).decode()
         except (KeyError, UnicodeDecodeError):
             continue
-        if text and len(tokenizer.model.tokenize("".join(map(byte_letters().__getitem__, text.encode())))) == 1:
+        if text and len(tokenizer.model.tokenize("".join(map(letters.__getitem__, text.encode())))) == 1:
             found[text] = 1
     return found
 
