@@ -52,9 +52,9 @@ MOST = 1 << 16
 #: Rows of the sample for tokens that very many texts hold, and the share of its rows that makes one.
 SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 4_000, 0.01, 40
 #: Rounds with leaders, and sets in a block of what is left after them.
-LEADER_ROUNDS, BLOCK_SETS = 2, 256
+LEADER_ROUNDS, BLOCK_SETS = 1, 256
 #: Tokens gathered in a task before they are sent on, and tokens in one range.
-FLUSH, RANGE_TOKENS = 1_500_000, 4_000_000
+FLUSH, RANGE_TOKENS = 1_000_000, 4_000_000
 #: Odd multipliers of the words' hashes in a shingle, by place.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BLOB = "key int, a binary, b binary, c binary"
@@ -167,7 +167,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
             tokens, owners, about = [], [], []
 
         gathered = 0
-        for part in parts:
+        for part in (p.slice(i, 500) for p in parts for i in range(0, p.num_rows, 500)):
             for uid, doc, text in zip(*(part.column(c).to_pylist() for c in ("uid", "doc", "text")), strict=True):
                 s = shingles(text, hashes)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -187,8 +187,7 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens of a range with the sets that hold them: those of one set go; the others travel on by set."""
-        got_t: list[np.ndarray] = []
-        got_u: list[np.ndarray] = []
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for part in parts:
             for key, a, b, c in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if b == b"d":
@@ -197,11 +196,10 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
                     u, t = _unpack(a, np.int64), _unpack(c, np.uint64, True)
                     yield from by_set(u, t, np.full(len(u), MOST, np.int32))
                 else:
-                    got_u.append(_unpack(a, np.int64))
-                    got_t.append(_unpack(c, np.uint64, True))
-        if got_t:
-            t, u = np.concatenate(got_t), np.concatenate(got_u)
-            got_t, got_u = [], []
+                    held.setdefault(key, []).append((a, c))
+        for key in list(held):  # range by range; what waits is compressed
+            blobs = held.pop(key)
+            t, u = np.concatenate([_unpack(c, np.uint64, True) for _, c in blobs]), np.concatenate([_unpack(a, np.int64) for a, _ in blobs])
             order = np.argsort(t, kind="stable")
             t, u = t[order], u[order]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -226,16 +224,23 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
             yield send(int(k), _pack(np.ascontiguousarray(info[home == k]).reshape(-1)), b"d", _pack(null[home == k]))
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        infos, nulls, us, ts, dfs = [], [], [], [], []
+        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for part in parts:
-            for _, a, b, c in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if b == b"d":
-                    infos.append(_unpack(a, np.int64).reshape(-1, 5))
-                    nulls.append(_unpack(c, np.uint8))
-                else:
-                    us.append(_unpack(a, np.int64, True))
-                    ts.append(_unpack(b, np.int64))
-                    dfs.append(_unpack(c, np.int32))
+            for key, *blobs in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                held.setdefault(key, []).append(tuple(blobs))
+        for key in list(held):
+            yield from prefixes_of(held.pop(key))
+
+    def prefixes_of(blobs: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        infos, nulls, us, ts, dfs = [], [], [], [], []
+        for a, b, c in blobs:
+            if b == b"d":
+                infos.append(_unpack(a, np.int64).reshape(-1, 5))
+                nulls.append(_unpack(c, np.uint8))
+            else:
+                us.append(_unpack(a, np.int64, True))
+                ts.append(_unpack(b, np.int64))
+                dfs.append(_unpack(c, np.int32))
         if not infos:
             return
         info, null = np.concatenate(infos), np.concatenate(nulls)
@@ -260,34 +265,36 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
     return shared_table(counted.repartition(width, "key").mapInArrow(prefixes, schema))
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never collected by the driver to be broadcast, however small it looks."""
+    return df.hint("merge")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs ``(a, b)`` those that link: an exact count of the tokens that both hold."""
     a = sets.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     b = sets.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (100 * both >= 75 * (F.col("na") + F.col("nb") - both))).select("a", "b")
+    return pairs.join(_side(b), "b").join(_side(a), "a").where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (100 * both >= 75 * (F.col("na") + F.col("nb") - both))).select("a", "b")
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` ``(uid, comp)`` after the components joined by ``links`` ``(a, b)`` are made one, named by the least.
 
-    Every component hooks onto the least of its neighbours, chains are halved until flat, and the graph of
-    components is contracted, until no edge is left: rounds in the logarithm of the longest chain.
+    In each round every component moves to its least neighbour's least neighbour, and so on, a few steps up; the
+    edges move along, which keeps what is connected connected, until none is left. Chains shorten fourfold a round.
     """
     a, b = labels.select(F.col("uid").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("uid").alias("b"), F.col("comp").alias("cb"))
-    edges = cut_lineage(links.join(a, "a").join(b, "b").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).where("x <> y").distinct())
+    edges = cut_lineage(links.join(_side(a), "a").join(_side(b), "b").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).where("x <> y").distinct())
     while not edges.isEmpty():
         up = cut_lineage(edges.groupBy("x").agg(F.min("y").alias("y")))
-        while True:
+        for _ in range(2):
             above = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            flat = cut_lineage(up.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
-            up = flat.select("x", "y")
-            if flat.where("moved").isEmpty():
-                break
-        root = up.select(F.col("x").alias("c"), F.col("y").alias("r"))
-        labels = cut_lineage(labels.join(root, labels["comp"] == root["c"], "left").select("uid", F.coalesce("r", "comp").alias("comp")))
-        rx, ry = root.select(F.col("c").alias("x"), F.col("r").alias("rx")), root.select(F.col("c").alias("y"), F.col("r").alias("ry"))
-        moved = edges.join(rx, "x", "left").join(ry, "y", "left").select(F.coalesce("rx", "x").alias("p"), F.coalesce("ry", "y").alias("q"))
+            up = up.join(_side(above), "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+        up = cut_lineage(up)
+        of = lambda name, to: _side(up.select(F.col("x").alias(name), F.col("y").alias(to)))
+        labels = cut_lineage(labels.join(of("comp", "to"), "comp", "left").select("uid", F.coalesce("to", "comp").alias("comp")))
+        moved = edges.join(of("x", "tx"), "x", "left").join(of("y", "ty"), "y", "left").select(F.coalesce("tx", "x").alias("p"), F.coalesce("ty", "y").alias("q"))
         edges = cut_lineage(moved.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")).where("x <> y").distinct())
     return labels
 
@@ -326,14 +333,14 @@ def _index(sets: DataFrame) -> DataFrame:
 def _leaders(held: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets ``a`` and the least set of another component at their keys: of these, that of most keys."""
     least = held.groupBy("key").agg(F.min(F.struct(F.col("uid").alias("b"), F.col("comp").alias("cb"))).alias("l"))
-    shared = held.join(least, "key").where("comp <> l.cb").groupBy("uid", F.col("l.b").alias("b")).agg(F.count("*").alias("c"))
+    shared = held.join(_side(least), "key").where("comp <> l.cb").groupBy("uid", F.col("l.b").alias("b")).agg(F.count("*").alias("c"))
     return shared.groupBy("uid").agg(F.max(F.struct(F.col("c"), (-F.col("b")).alias("nb"))).alias("m")).select(F.col("uid").alias("a"), (-F.col("m.nb")).alias("b"))
 
 
 def _several(held: DataFrame) -> DataFrame:
     """The rows of ``held`` whose key holds several components."""
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return held.join(mixed, "key", "left_semi")
+    return held.join(_side(mixed), "key", "left_semi")
 
 
 def _joined(group: pa.Table) -> pa.Table:
@@ -373,42 +380,42 @@ def _joined(group: pa.Table) -> pa.Table:
 def _across(held: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the components that the keys of ``held`` (key, uid, comp) hold, block by block."""
     least = held.groupBy("key").agg(F.min("uid").alias("b"))
-    touch = held.join(least, "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    touch = held.join(_side(least), "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     members = cut_lineage(held.select("uid", "comp").distinct())
     family = merge_components(members.select("uid", F.col("uid").alias("comp")), touch).withColumnRenamed("comp", "fam")
-    members = members.join(family, "uid")
+    members = members.join(_side(family), "uid")
     sizes = members.groupBy("fam", "comp").agg(F.count("*").alias("c"))
     # a large component has blocks of its own, which need not meet each other; small ones share blocks
     big = F.col("c") >= BLOCK_SETS
-    placed = members.join(sizes, ["fam", "comp"]).withColumn("grp", F.when(big, F.col("comp")).otherwise(-1))
+    placed = members.join(_side(sizes), ["fam", "comp"]).withColumn("grp", F.when(big, F.col("comp")).otherwise(-1))
     totals = sizes.groupBy("fam", F.when(big, F.col("comp")).otherwise(-1).alias("grp")).agg(F.ceil(F.sum("c") / BLOCK_SETS).cast("int").alias("blocks"))
-    placed = placed.join(totals, ["fam", "grp"]).select("uid", "fam", "comp", "grp", F.concat_ws(":", F.col("grp").cast("string"), F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("string")).alias("blk"))
+    placed = placed.join(_side(totals), ["fam", "grp"]).select("uid", "fam", "comp", "grp", F.concat_ws(":", F.col("grp").cast("string"), F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("string")).alias("blk"))
     blocks = totals.select("fam", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("fam", F.col("grp").alias("g2"), F.concat_ws(":", F.col("grp").cast("string"), F.col("i").cast("string")).alias("blk2"))
-    met = placed.join(blocks, "fam").where("grp = -1 OR grp <> g2").select("uid", "fam", "comp", "blk", F.least("blk", "blk2").alias("p"), F.greatest("blk", "blk2").alias("q"))
-    return met.join(sets.select("uid", "n", "shared"), "uid").groupBy("fam", "p", "q").applyInArrow(_joined, "a long, b long")
+    met = placed.join(_side(blocks), "fam").where("grp = -1 OR grp <> g2").select("uid", "fam", "comp", "blk", F.least("blk", "blk2").alias("p"), F.greatest("blk", "blk2").alias("q"))
+    return met.join(_side(sets.select("uid", "n", "shared")), "uid").groupBy("fam", "p", "q").applyInArrow(_joined, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``; ``uid`` (its place in ``docs``) and ``comp`` (the component's name by uid) tell rows apart that doc_id does not."""
     table = _prefix_table(docs)
     rep = cut_lineage(table.where("full AND n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep")))
-    sets = table.where("tokens IS NOT NULL").join(rep.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "shared", "tokens", "counts", "single")
+    sets = table.where("tokens IS NOT NULL").join(_side(rep.select(F.col("rep").alias("uid"))), "uid", "left_semi").select("uid", "n", "shared", "tokens", "counts", "single")
     sets = shared_table(sets)
     index = shared_table(_index(sets))
     labels = sets.select("uid", F.col("uid").alias("comp"))
     held = index
     for _ in range(LEADER_ROUNDS):
-        labels = merge_components(labels, _verified(_leaders(held.join(labels, "uid")), sets))
-        held = cut_lineage(_several(held.join(labels, "uid"))).select("key", "uid")
-    held = held.join(labels, "uid")
+        labels = merge_components(labels, _verified(_leaders(held.join(_side(labels), "uid")), sets))
+        held = cut_lineage(_several(held.join(_side(labels), "uid"))).select("key", "uid")
+    held = held.join(_side(labels), "uid")
     labels = merge_components(labels, _across(held, sets))
 
-    rows = table.select("uid", "doc_id", "n", "k1", "k2").join(rep, ["k1", "k2"], "left")
+    rows = table.select("uid", "doc_id", "n", "k1", "k2").join(_side(rep), ["k1", "k2"], "left")
     rows = rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("rep"))
-    named = rows.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    named = rows.join(_side(labels.select(F.col("uid").alias("rep"), "comp")), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     named = shared_table(named)
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "comp").select("doc_id", "n_shingles", "component_id", "uid", "comp")
+    return named.join(_side(least), "comp").select("doc_id", "n_shingles", "component_id", "uid", "comp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -418,4 +425,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     first = jaccard_components(docs).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m")).select(F.col("m.uid").alias("__kept"))
     placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    return placed.join(first, placed["__place"] == first["__kept"], "left_semi").drop("__place")
+    return placed.join(_side(first), placed["__place"] == first["__kept"], "left_semi").drop("__place")
