@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 LONGEST = 40
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 _models: dict[str, "Pieces"] = {}
 
 
@@ -181,7 +181,7 @@ def _home(word: str, ranges: int) -> int:
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """The task's rows in blocks of bounded size: a number, keys and texts."""
     at, keys, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
-    for part in parts:
+    for part in (p.slice(i, 500) for p in parts for i in range(0, p.num_rows, 500)):
         for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
             keys.append(key)
             texts.append(text)
