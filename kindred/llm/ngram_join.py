@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm._common import cut_lineage, shared_table
+from kindred.llm._common import cut_lineage, release, shared_table
 
 SHINGLE = 5
 #: Sets that hold a token, up to which it is rare.
@@ -53,8 +53,8 @@ MOST = 1 << 16
 SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 4_000, 0.01, 40
 #: Rounds with leaders, and sets in a block of what is left after them.
 LEADER_ROUNDS, BLOCK_SETS = 1, 256
-#: Tokens gathered in a task before they are sent on, and tokens in one range.
-FLUSH, RANGE_TOKENS = 1_000_000, 4_000_000
+#: Tokens gathered in a task before they are sent on, and characters of text whose tokens make one range.
+FLUSH, RANGE_CHARS = 1_000_000, 5_000_000
 #: Odd multipliers of the words' hashes in a shingle, by place.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BLOB = "key int, a binary, b binary, c binary"
@@ -127,8 +127,9 @@ def _prefix_table(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
     n_rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (4 * RANGE_TOKENS))
-    ranges = 3 * width
+    # ranges follow the volume, whatever the number of partitions: blobs for all ranges of all ranges stay few beside the tokens
+    ranges = max(12, chars // RANGE_CHARS)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 16)
     heavy = spark.sparkContext.broadcast(_heavy_tokens(rows, n_rows))
     none = pa.array([None], pa.binary())
 
@@ -287,6 +288,7 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("uid").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("uid").alias("b"), F.col("comp").alias("cb"))
     edges = cut_lineage(links.join(_side(a), "a").join(_side(b), "b").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).where("x <> y").distinct())
     while not edges.isEmpty():
+        release(edges.sparkSession)
         up = cut_lineage(edges.groupBy("x").agg(F.min("y").alias("y")))
         for _ in range(2):
             above = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
@@ -397,18 +399,24 @@ def _across(held: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``; ``uid`` (its place in ``docs``) and ``comp`` (the component's name by uid) tell rows apart that doc_id does not."""
+    spark = docs.sparkSession
     table = _prefix_table(docs)
+    release(spark)
     rep = cut_lineage(table.where("full AND n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep")))
     sets = table.where("tokens IS NOT NULL").join(_side(rep.select(F.col("rep").alias("uid"))), "uid", "left_semi").select("uid", "n", "shared", "tokens", "counts", "single")
     sets = shared_table(sets)
     index = shared_table(_index(sets))
+    release(spark)
     labels = sets.select("uid", F.col("uid").alias("comp"))
     held = index
     for _ in range(LEADER_ROUNDS):
         labels = merge_components(labels, _verified(_leaders(held.join(_side(labels), "uid")), sets))
         held = cut_lineage(_several(held.join(_side(labels), "uid"))).select("key", "uid")
+        release(spark)
     held = held.join(_side(labels), "uid")
-    labels = merge_components(labels, _across(held, sets))
+    links = cut_lineage(_across(held, sets))
+    release(spark)
+    labels = merge_components(labels, links)
 
     rows = table.select("uid", "doc_id", "n", "k1", "k2").join(_side(rep), ["k1", "k2"], "left")
     rows = rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("rep"))
