@@ -240,7 +240,7 @@ def _raw(p: Pieces, ids: list[int]) -> str:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", back: bool = False) -> DataFrame:
     """``key`` and ``ids``, the pieces of each whole text; with ``back`` also ``text``, decoded from the ids again."""
     spark = docs.sparkSession
-    p = pieces(path)
+    p = Pieces(path)  # the driver needs it for the piece table only, and lets it go again
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col("text").alias("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
