@@ -693,17 +693,14 @@ def _shared(spark: SparkSession) -> str:
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
-    """Daily counts by a stream that has read all there is: windows with a watermark, each event once."""
+    """Daily counts by a stream that has read all there is, in whatever order its files come, each event once."""
     from kindred.streaming import ingest
 
     schema = _t(spark, sf, "events").schema
     folder = _shared(spark)
-    events = ingest.read_events(spark, f"{sf}/events*.parquet", schema)
-    counts = ingest.windowed_counts(events, "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "cents")
-    # in update mode each batch gives the windows it changed; the last state of each is the result
-    table = ingest.StagedTable(spark, f"{folder}/table", "id", "batch", "n")
-    ingest.run_to_end(counts, f"{folder}/state", mode="update", batch=lambda df, k: table.apply(df.withColumn("id", F.concat_ws("|", "day", "event_type")).withColumn("batch", F.lit(k)), k))
-    return table.read().select("day", "event_type", "n", "cents")
+    windows = ingest.CountedWindows(spark, f"{folder}/table", "event_id", "ts", "event_type")
+    ingest.run_to_end(ingest.read_events(spark, f"{sf}/events*.parquet", schema), f"{folder}/state", batch=windows.apply)
+    return windows.read().select(F.col("window").cast("timestamp_ntz").alias("day"), "event_type", "n", "cents")
 
 
 @query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
