@@ -11,6 +11,8 @@ from kindred.functions.ints import idiv
 #: Kinds of keys, and the limits of nomination: works that a key may be found in, and nominees of each kind.
 CODE, BAND = 0, 1
 DF_CAP, NOMINEES = 256, 32
+#: Bits up to which codes share a byte; rows and columns of the grid in which all meet beyond that.
+EXACT, GRID = 7, 16
 #: The weight of a key that one work alone holds; of more, its share. Whole numbers add up alike in any order.
 UNIT = 1 << 32
 
@@ -83,16 +85,28 @@ def candidate_union(**channels: DataFrame) -> DataFrame:
 
 
 def chunk_join(codes: DataFrame, queries: DataFrame, most: int = 7) -> DataFrame:
-    """Pairs of 64-bit codes within ``most`` bits, exact for up to 7: of eight bytes one at least is then equal.
+    """All pairs of 64-bit codes within ``most`` bits.
 
+    Up to 7 bits one at least of eight bytes is equal, and codes meet by their bytes. Of more bits no piece long enough
+    to tell codes apart need be equal: then every query meets every code, in the cells of a grid.
     ``codes`` and ``queries`` are (id, code). Gives ``query, id, distance``.
     """
     from kindred.functions.bits import bytes_of, hamming
 
-    pieces = codes.select("id", "code", F.explode(bytes_of(F.col("code"))).alias("c")).select("id", "code", "c.idx", "c.val")
-    asked = queries.select(F.col("id").alias("query"), F.col("code").alias("asked"), F.explode(bytes_of(F.col("code"))).alias("c")).select("query", "asked", "c.idx", "c.val")
-    near = asked.join(pieces, ["idx", "val"]).where("query <> id").withColumn("distance", hamming(F.col("asked"), F.col("code")))
-    return near.where(F.col("distance") <= most).select("query", "id", F.col("distance").cast("int").alias("distance")).distinct()
+    asked, pieces = queries.select(F.col("id").alias("query"), F.col("code").alias("asked")), codes.select("id", "code")
+    if most <= EXACT:
+        by = ["idx", "val"]
+        pieces = pieces.select("id", "code", F.explode(bytes_of(F.col("code"))).alias("c")).select("id", "code", "c.*")
+        asked = asked.select("query", "asked", F.explode(bytes_of(F.col("asked"))).alias("c")).select("query", "asked", "c.*")
+    else:
+        by = ["row", "column"]
+        every = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
+        place = lambda id: F.pmod(F.xxhash64(id), F.lit(GRID)).cast("int")
+        pieces = pieces.select("id", "code", every.alias("row"), place("id").alias("column"))
+        asked = asked.select("query", "asked", place("query").alias("row"), every.alias("column"))
+    distance = hamming(F.col("asked"), F.col("code"))
+    near = asked.join(pieces, by).where((F.col("query") != F.col("id")) & (distance <= most)).select("query", "id", distance.cast("int").alias("distance"))
+    return near.distinct() if most <= EXACT else near
 
 
 def recall(found: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5, 32)) -> DataFrame:
