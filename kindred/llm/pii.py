@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 1. Seeds: e-mail addresses, IP addresses, card numbers and phone numbers found by their form and checked.
-2. The words left of a seed make a lexical pattern. Strings that look like identifiers (``candidate``) stand in the
+2. The words beside a seed make lexical patterns. Strings that look like identifiers (``candidate``) stand in the
    same places; patterns and instances form a bipartite graph, of which only counted edges are kept.
-3. A few rounds score it: a pattern by the share of its instances that are believed, an instance by its best patterns.
-4. What stands after a pattern that is believed, with enough different seeds behind it, is a span of the pattern's kind.
+3. A few rounds score it: a pattern by the share of its instances that are believed, an instance by its best pattern.
+   Instances that one pattern tells count for others, so patterns without any seed can come to be believed.
+4. What stands beside a pattern that is believed, with enough different believed instances, is a span of its kind.
 
 The form's spans always stay. Patterns and instances are counted before any shuffle, and the graph holds strings
 with digits, colons or an at sign only, so it is small beside the text; no row of a hot pattern is gathered in one place.
@@ -41,11 +42,14 @@ CANDIDATE = "|".join(
         r"(?<![A-Za-z0-9+@._%-])(?=[A-Za-z@._%+-]{0,252}[0-9@])[A-Za-z0-9+][A-Za-z0-9@._%+-]{3,252}[A-Za-z0-9](?![A-Za-z0-9@_%+-])",
     )
 )
-#: The two words left of a span: what is between white space, digits made equal.
-LEFT = r"(\S{1,32}\s{1,3}\S{0,32}\s{0,3})$"
+#: The contexts of a span, the most telling first: two words left, one word left, the word right of it. A word is what is
+#: between white space, digits made equal.
+LEFT, NEAR, RIGHT = r"(\S{1,32}\s{1,3}\S{0,32}\s{0,3})$", r"(\S{1,32}\s{0,3})$", r"^(\S{0,32}\s{1,3}\S{1,32})"
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
+#: Scores and beliefs are whole numbers of this unit, so that sums are the same in any order.
+SURE = 10_000
 
 
 def _digits(x: Column) -> Column:
@@ -98,11 +102,13 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(_possible(kind, text), F.filter(_located(text, FORMS[kind]), lambda m: _valid(kind, m["said"]))).otherwise(empty)
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The pattern: the words left of ``start``, lower case, digits made equal; null at a text's beginning."""
-    near = F.substring(text, F.greatest(start - 71, F.lit(1)), F.least(start, F.lit(72)))
-    words = F.regexp_extract(near, LEFT, 1)
-    return F.nullif(F.regexp_replace(F.lower(words), "[0-9]+", "0"), F.lit(""))
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """The patterns: the words beside a span, lower case, digits made equal, with the number of their kind of context; fewer at a text's ends."""
+    left = F.substring(text, F.greatest(start - 71, F.lit(1)), F.least(start, F.lit(72)))
+    right = F.substring(text, end + 1, F.lit(72))
+    found = (F.regexp_extract(near, form, 1) for near, form in ((left, LEFT), (left, NEAR), (right, RIGHT)))
+    named = (F.when(words != "", F.concat(F.lit(f"{i}:"), F.regexp_replace(F.lower(words), "[0-9]+", "0"))) for i, words in enumerate(found))
+    return F.array_compact(F.array(*named))
 
 
 def _tagged(column: str, kind: int) -> Column:
@@ -120,28 +126,30 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
     found = found.select("doc_id", "text", F.concat(*(_tagged(k, i) for i, k in enumerate(KINDS))).alias("base"))
     looks = F.when(F.col("text").rlike("[0-9@:]"), _located(F.col("text"), CANDIDATE))
     free = F.filter(looks, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    placed = lambda spans, kind: F.transform(spans, lambda m: F.struct(kind(m).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["said"].alias("said"), _context(F.col("text"), m["start"]).alias("pattern")))
+    placed = lambda spans, kind: F.transform(spans, lambda m: F.struct(kind(m).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["said"].alias("said"), _contexts(F.col("text"), m["start"], m["end"]).alias("patterns")))
     # what the rounds need is far smaller than the text; with the lineage cut here the text is read once
     marked = cut_lineage(
         found.select(
             "doc_id",
             placed(F.col("base"), lambda m: m["kind"]).alias("base"),
-            F.filter(placed(F.coalesce(free, F.array().cast("array<struct<start:int,end:int,said:string>>")), lambda m: F.lit(-1)), lambda m: m["pattern"].isNotNull()).alias("free"),
+            F.filter(placed(F.coalesce(free, F.array().cast("array<struct<start:int,end:int,said:string>>")), lambda m: F.lit(-1)), lambda m: F.size(m["patterns"]) > 0).alias("free"),
         )
     )
     edges = (
         marked.select(F.explode(F.concat("base", "free")).alias("m"))
-        .where("m.pattern IS NOT NULL")
-        .groupBy(F.col("m.pattern").alias("pattern"), F.col("m.said").alias("said"), F.col("m.kind").alias("kind"))
+        .select(F.explode("m.patterns").alias("pattern"), "m.said", "m.kind")
+        .groupBy("pattern", "said", "kind")
         .agg(F.count("*").alias("n"))
     )
     patterns = score_graph(edges, rounds, min_seeds, min_score)
     told = (
         marked.select("doc_id", F.explode("free").alias("m"))
-        .join(patterns, F.col("m.pattern") == patterns["pattern"])
-        .select("doc_id", F.struct(patterns["kind"].alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).alias("s"))
+        .select("doc_id", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
+        .join(patterns, "pattern")
+        .groupBy("doc_id", "start", "end")
+        .agg(F.min(F.struct(F.substring("pattern", 1, 1).alias("of"), -F.col("score"), "kind")).alias("first"))
         .groupBy("doc_id")
-        .agg(F.collect_set("s").alias("more"))
+        .agg(F.collect_set(F.struct("first.kind", "start", "end")).alias("more"))
         .withColumnRenamed("doc_id", "__doc")
     )
     bare = F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
@@ -153,20 +161,26 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
 
 
 def score_graph(edges: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
-    """Believed patterns ``(pattern, kind)`` of the edges ``(pattern, said, kind, n)``; ``kind`` is -1 for what no form found.
+    """Believed patterns ``(pattern, kind, score)`` of the edges ``(pattern, said, kind, n)``; ``kind`` is -1 for what no form found.
 
-    A pattern with fewer than ``min_seeds`` different seeds of one kind can never be believed, so the graph is
-    first cut down to the patterns that can.
+    Each round scores the patterns that hold a believed instance, a seed or one that patterns of the round before told:
+    a pattern is believed with ``min_seeds`` different believed instances of a kind that make up a share of ``min_score``
+    of all its instances. So patterns are reached from seeds by shared instances, whether or not a form stands in them.
     """
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", -F.col("kind"))).alias("b")).select("pattern", (-F.col("b.col2")).alias("kind"))
-    graph = cut_lineage(edges.select("pattern", "said", (F.col("kind") >= 0).alias("seed")).distinct().join(best.withColumnRenamed("kind", "of"), "pattern"))
-    belief = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    scores = graph.groupBy("pattern", "of").agg(F.avg(belief).alias("score"))
-    for _ in range(rounds - 1):
-        instance = graph.join(scores.select("pattern", "score"), "pattern").groupBy("said").agg(F.max(F.when(F.col("score") >= min_score, F.col("score")).otherwise(0.0)).alias("belief"))
-        scores = graph.join(instance, "said").groupBy("pattern", "of").agg(F.avg(F.when(F.col("seed"), 1.0).otherwise(F.col("belief"))).alias("score"))
-    return scores.where(F.col("score") >= min_score).select("pattern", F.col("of").alias("kind"))
+    graph = cut_lineage(edges.select("pattern", "said").distinct())
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("of"))
+    seeds = cut_lineage(edges.where("kind >= 0").select("said", "kind", F.lit(SURE).cast("long").alias("belief")).distinct())
+    beliefs = seeds
+    for last in (*[False] * (rounds - 1), True):
+        met = graph.join(beliefs, "said").groupBy("pattern", "kind").agg(F.count("*").alias("believed"), F.sum("belief").alias("sum"))
+        scored = met.where(F.col("believed") >= min_seeds).join(sizes, "pattern").withColumn("score", F.expr("sum div of")).where(F.col("score") >= round(min_score * SURE))
+        best = scored.groupBy("pattern").agg(F.max(F.struct("score", "believed", -F.col("kind"))).alias("b"))
+        patterns = best.select("pattern", (-F.col("b.col3")).alias("kind"), F.col("b.score").alias("score"))
+        if not last:
+            patterns = cut_lineage(patterns)
+            told = graph.join(patterns, "pattern").select("said", "kind", F.col("score").alias("belief"))
+            beliefs = cut_lineage(seeds.unionByName(told).groupBy("said", "kind").agg(F.max("belief").alias("belief")))
+    return patterns
 
 
 def spans_text(spans: Column) -> Column:

@@ -25,3 +25,24 @@ def test_a_believed_pattern_yields_every_form(spark, kind, form):
     for i, s in enumerate(WHOLE):
         text = rows[40 + i][1]
         assert got[100 + i] == [(pii.KINDS.index(kind), text.index(s), text.index(s) + len(s))], s
+
+
+def test_instances_of_one_pattern_make_another_believed(spark):
+    told = [f"555 777 01{i:02d}" for i in range(8)]
+    rows = [(i, f"the first place: +1 (200) 555-01{i:02d}") for i in range(40)]
+    rows += [(100 + i, f"the first place: {s}") for i, s in enumerate(told)]
+    rows += [(200 + i, f"of another kind: {s}") for i, s in enumerate(told)]
+    rows += [(300, "of another kind: 555 888 0000"), (301, "of no kind: 555 888 0001")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in found}
+    assert got[300] == [(3, 17, 29)]
+    assert got[301] == []
+    assert all(len(got[k + i]) == 1 for k in (100, 200) for i in range(8))
+
+
+def test_shorter_contexts_tell_when_two_words_do_not(spark):
+    left = [(i, f"word{chr(97 + i)} mobile: +1 (200) 555-01{i:02d}") for i in range(12)]
+    right = [(20 + i, f"x{chr(97 + i)} y{chr(97 + i)} +1 (200) 555-02{i:02d} rings") for i in range(12)]
+    rows = [*left, *right, (100, "unseen mobile: 555 777 0199"), (101, "un seen 555 777 0198 rings"), (102, "un heard 555 777 0197 said")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[100], got[101], got[102]) == ([(3, 15, 27)], [(3, 8, 20)], [])
