@@ -208,13 +208,18 @@ def lsh_support_join(spark, sf):
     "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
 )
 def cosine_knn(spark, sf):
-    """The 10 nearest of 16 vectors: the queries are a fixed number, so the scan of all vectors is one pass."""
+    """The 10 nearest of each vector: every query meets every vector, in the cells of a grid."""
     whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
     v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), whole.alias("v"))
-    asked = v.where("id < 16").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(nomination.GRID - 1)))
+    place = F.pmod(F.xxhash64("id"), F.lit(nomination.GRID)).cast("int")
+    asked, works = v.select(F.col("id").alias("query"), F.col("v").alias("q"), place.alias("row"), every.alias("column")), v.select("id", "v", every.alias("row"), place.alias("column"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return v.join(F.broadcast(asked), F.col("id") != F.col("query")).select("query", "id", dot.alias("score")).withColumn("rank", rank).where("rank <= 10")
+    scored = asked.join(works, ["row", "column"]).where(F.col("id") != F.col("query")).select("query", "id", "column", dot.alias("score"))
+    # the best of each cell first, so that no window holds all pairs of a query
+    order = [F.desc("score"), "id"]
+    first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query", "column").orderBy(*order))).where("rank <= 10")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where("rank <= 10").select("query", "id", "score", "rank")
 
 
 @query(f"WITH {_CODES.replace('vec_id AS id', 'vec_id // 64 AS work, CAST(vec_id % 64 AS INT) AS part')} SELECT x.work, x.part, CAST(1 + count(y.part) AS BIGINT) AS burst FROM codes x LEFT JOIN codes y ON x.work = y.work AND x.part <> y.part AND {_HAM.format('x.code', 'y.code')} <= 24 GROUP BY x.work, x.part")
@@ -324,22 +329,21 @@ def _bands(v: Column) -> Column:
 def _si_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Works with cells and bands; and probes: the own cell and the others of the coarse cell."""
     works = _screened(spark, sf).select("id", "cell", "coarse", _bands(F.col("v")).alias("bands"))
-    asked = works.where("id < 16")
     others = works.select("cell", "coarse").distinct()
-    probes = asked.select(F.col("id").alias("query"), "coarse", F.col("cell").alias("own")).join(others, "coarse").select("query", "cell", F.when(F.col("cell") == F.col("own"), 1).otherwise(2).alias("rank"))
+    probes = works.select(F.col("id").alias("query"), "coarse", F.col("cell").alias("own")).join(others, "coarse").select("query", "cell", F.when(F.col("cell") == F.col("own"), 1).otherwise(2).alias("rank"))
     return works, probes
 
 
 @query(f"WITH {_SI_SCORE} SELECT query, id, CAST(score AS INT) AS score FROM t WHERE score >= 5")
 def si_score(spark, sf):
     works, probes = _si_tables(spark, sf)
-    return screening.score(probes, works.where("id < 16"), works, threshold=5, budget=1 << 30).select("query", "id", "score")
+    return screening.score(probes, works, works, threshold=5, budget=1 << 30).select("query", "id", "score")
 
 
 @query(f"WITH {_SI_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t) SELECT query, id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20 AND score >= -100")
 def si_topb(spark, sf):
     works, probes = _si_tables(spark, sf)
-    return screening.score(probes, works.where("id < 16"), works, threshold=-100, budget=20)
+    return screening.score(probes, works, works, threshold=-100, budget=20)
 
 
 @query(
@@ -357,7 +361,7 @@ def si_fit_weights(spark, sf):
 @query(f"WITH {_SI_SCORE}, n AS (SELECT count(*) AS n FROM t), r AS (SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS r FROM t) SELECT CAST(score AS INT) AS threshold, n FROM r, n WHERE r = n * 10000 // 1000000")
 def si_threshold(spark, sf):
     works, probes = _si_tables(spark, sf)
-    return screening.admission_threshold(screening.score(probes, works.where("id < 16"), works, threshold=-1000, budget=1 << 30), "score", 10_000)
+    return screening.admission_threshold(screening.score(probes, works, works, threshold=-1000, budget=1 << 30), "score", 10_000)
 
 
 # ---- sequences ----

@@ -27,3 +27,10 @@ def test_chunk_join_by_bytes_and_by_grid(spark):
     assert near(7) == [(0, 1, 7)]
     assert near(8) == [(0, 1, 7), (0, 2, 8)]
     assert near(64) == [(0, 1, 7), (0, 2, 8), (0, 3, 64)]
+
+
+@pytest.mark.parametrize("name", ["cosine_knn", "si_score", "si_topb", "si_threshold"])
+def test_every_vector_is_a_query(spark, sf, con, name):
+    sql = catalogue.ORACLE[name].replace("q.vec_id < 16 AND ", "").replace("ON q.id < 16", "ON true")
+    assert "< 16" not in sql
+    assert difference(QUERIES[name](spark, sf), con, sql) is None
