@@ -200,7 +200,7 @@ _LSH = "codes AS (" + " UNION ALL ".join(f"SELECT work, part, {p} AS p, CAST({_p
 )
 def lsh_support_join(spark, sf):
     parts = _parts(spark, sf)
-    return matching.lsh_support(_neighbours(parts), parts, projections=6, bits=8)
+    return matching.lsh_support(_neighbours(parts), parts)
 
 
 @query(
