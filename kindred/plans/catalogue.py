@@ -551,8 +551,9 @@ def calibration_metrics(spark, sf):
 
 @query(f"WITH {_verdict_sql(3300, 'v')} SELECT ((max(structural) // 100) + 1) * 100 AS moderate FROM v WHERE certifiable AND state IN ('Related', 'Suspected') AND basis NOT LIKE '%geometric%' AND pair % 2 = 1")
 def moderate_bar(spark, sf):
-    rows = _verdicts(_evidence(_t(spark, sf, "orders")), CURRENT)
-    alone = rows.where(F.col("certifiable") & F.col("state").isin("Related", "Suspected") & ~F.array_contains("basis", "geometric") & (F.col("pair") % 2 == 1))
+    """The bar above what structure alone gives to pairs of different authors."""
+    rows = _pairs(spark, sf).where("same_author = 0")
+    alone = rows.where(F.col("certifiable").cast("boolean") & F.col("verdict").isin("Related", "Suspected") & ~F.array_contains("basis", "geometric"))
     return alone.agg(ints.round_up(F.max("structural"), 100).alias("moderate"))
 
 
@@ -571,7 +572,7 @@ def _pairs(spark, sf) -> DataFrame:
     judged = _verdicts(_evidence(orders), CURRENT)
     rows = judged.join(orders.select(F.col("o_orderkey").alias("pair"), "o_custkey", "o_orderdate"), "pair").select(
         F.col("o_custkey").alias("x"), ((F.col("o_custkey") * 7 + F.col("pair")) % 1500).alias("y"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("computed"), F.col("pair").alias("k"),
-        F.col("state").alias("verdict"), F.col("code").alias("state"), "structural", F.col("certifiable").cast("int").alias("certifiable"),
+        F.col("state").alias("verdict"), F.col("code").alias("state"), "structural", F.col("certifiable").cast("int").alias("certifiable"), "basis",
     )
     meta = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("author"), ((F.col("c_custkey") * 37) % 1000).alias("created"))
     return store.ordered_pairs(rows.where("x <> y"), meta)

@@ -54,3 +54,9 @@ def test_support_over_the_whole_table_of_projections(spark, sf, con):
                     want.add((a, a + 1, i, j, n))
     assert {tuple(r) for r in QUERIES["lsh_support_join"](spark, sf).select("a", "b", "i", "j", "support").collect()} == want
     assert len(want) > 0
+
+
+def test_bar_of_all_pairs_of_different_authors(spark, sf, con):
+    pairs = catalogue._STORED.format(where="").replace("o_orderkey AS k FROM v JOIN", "o_orderkey AS k, v.basis FROM v JOIN").replace("computed, k, CAST(mx", "computed, k, basis, CAST(mx")
+    sql = f"WITH {pairs} SELECT ((max(structural) // 100) + 1) * 100 AS moderate FROM s1 WHERE same_author = 0 AND certifiable = 1 AND verdict IN ('Related', 'Suspected') AND basis NOT LIKE '%geometric%'"
+    assert difference(QUERIES["moderate_bar"](spark, sf), con, sql) is None
