@@ -47,6 +47,20 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is files read again at each use, with nothing but columns chosen and rows filtered: then a row has the same place each time."""
+    kinds = [line.strip(" +-:*").split(" ")[0].split("(")[0].rstrip(",") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()]
+    return kinds[-1] == "Relation" and set(kinds[:-1]) <= {"Project", "Filter"}
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name made of ``name`` that none of the frames has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while (name := f"__{name}").lower() in taken:
+        pass
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished steps left: Spark removes shuffle files, broadcasts and checkpoints of frames that are garbage only when the driver collects it."""
     gc.collect()
