@@ -72,7 +72,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [count_kind("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    secrets = F.size("secrets").cast("long")
+    more = [secrets.alias("n_secret"), spans_text(F.col("secrets")).alias("secret_spans"), (F.size("spans") + secrets).alias("n_found")]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), *more)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
