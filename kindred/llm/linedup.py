@@ -5,7 +5,8 @@ limit goes from every document; the other lines are put together again in their
 
 Defined cases: a null or empty text is one empty line, which has no key long enough to be dropped; a document of
 which every line goes keeps the empty text; rows that repeat a ``doc_id`` count as one document and are each
-cleaned; a null ``doc_id`` is a document of its own; other columns pass through.
+cleaned; a null ``doc_id`` is a document of its own; an empty table gives no rows; other columns pass through, whatever
+their names, but for those named as the two counts, which take their place (``counts=None`` leaves the counts out).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm._common import ASCII_SPACE, ascii_lower
+from kindred.llm._common import ASCII_SPACE, ascii_lower, free_name
 
 
 def line_key(line: Column) -> Column:
@@ -43,25 +44,20 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     return held.join(common, ["a", "b"])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and ``n_lines`` (before) and ``n_dropped``."""
-    dropped = common_lines(docs, min_docs, min_chars).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("__gone"))
-    dropped = dropped.withColumnRenamed("doc", "__doc")
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the numbers of lines (before) and of dropped lines in columns named by ``counts``."""
+    doc, gone, kept, n = (free_name(x, docs) for x in ("doc", "gone", "kept", "n"))
+    dropped = common_lines(docs, min_docs, min_chars).groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("a", "b")).alias(gone))
     lines = _lines(F.col("text"))
     stays = F.filter(
         lines,
-        lambda x: (F.char_length(F.btrim(x, F.lit(ASCII_SPACE))) < min_chars) | ~F.array_contains(F.col("__gone"), _hashed(x)),
+        lambda x: (F.char_length(F.btrim(x, F.lit(ASCII_SPACE))) < min_chars) | ~F.array_contains(F.col(gone), _hashed(x)),
     )
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(stays)
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    new = [] if counts is None else [F.col(n).cast("long").alias(counts[0]), (F.col(n) - F.size(kept)).cast("long").alias(counts[1])]
+    others = [c for c in docs.columns if c.lower() not in {x.lower() for x in counts or ()}]
     return (
-        docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__doc"]), "left")
-        .withColumn("__kept", kept)
-        .withColumn("__n", F.size(lines))
-        .select(
-            *others,
-            F.array_join("__kept", "\n").alias("text"),
-            F.col("__n").cast("long").alias("n_lines"),
-            (F.col("__n") - F.size("__kept")).cast("long").alias("n_dropped"),
-        )
+        docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[doc]), "left")
+        .withColumn(kept, F.when(F.col(gone).isNull(), lines).otherwise(stays))
+        .withColumn(n, F.size(lines))
+        .select(*(F.array_join(kept, "\n").alias("text") if c.lower() == "text" else F.col(c) for c in others), *new)
     )
