@@ -2,6 +2,12 @@
 
 Each stage takes all that the one before has kept and returns the columns of documents; the last gives the encoded
 documents.
+
+Defined cases, for every stage: an empty table gives an empty one; other columns come back as they are, whatever their
+names (``n_chars`` follows the text where it is there); a null ``doc_id`` is a document like any other; null and empty
+texts are kept by all stages but the classifier, which scores them like other texts; rows that repeat are classified,
+cleaned and encoded alike, and the join keeps one of them. Cutting passages can make texts alike that the join has told
+apart: it is judged on its own input.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm._common import shared_table, table
+from kindred.llm._common import free_name, shared_table, table
 from kindred.llm.decontaminate import decontaminate
 from kindred.llm.linedup import dedup_lines
 from kindred.llm.ngram_join import one_of_each
@@ -24,16 +30,18 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    columns = tuple(free_name(x, docs) for x in ("held_out", "score", "predicted"))
+    return score_quality(docs, table(spark, sf_dir, "labels"), columns).where(F.col(columns[2]) == 1).select(*docs.columns)
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+    """The columns, ``n_chars`` counted anew."""
+    return docs.select(*(F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more share; all documents stay, be it without text."""
-    return _sized(dedup_lines(docs, min_docs=10, min_chars=1), docs.columns)
+    return _sized(dedup_lines(docs, min_docs=10, min_chars=1, counts=None), docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
