@@ -266,7 +266,7 @@ def without_spans(text: str | None, spans: list[list[int]]) -> str | None:
     if not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in WORD.finditer(raw)]
+    at = [m.span() for m in WORD.finditer(raw.lower())]
     out, last = [], 0
     for a, b in spans:
         out.append(raw[last : at[a][0]])

@@ -206,9 +206,9 @@ def test_blocks_of_items_and_cleaning(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
     items = spark.createDataFrame([(i, " ".join(f"item{i} word{j}" for j in range(6))) for i in range(6)], "item_id long, text string")
     passage = " ".join(f"item2 word{j}" for j in range(6))
-    docs = spark.createDataFrame([(1, f"Before it, {passage}. After it come several more words to keep, and more and more."), (2, passage), (3, "clean"), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"Before it, {passage}. After it come several more words to keep, and more and more."), (2, passage), (3, "clean"), (4, None), (5, f"AN ALL CAPS PLACE {passage.upper()} AND MORE WORDS HERE 42 Ünd ÀB so it stays")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
-    assert got == {1: "Before it, . After it come several more words to keep, and more and more.", 3: "clean", 4: None}
+    assert got == {1: "Before it, . After it come several more words to keep, and more and more.", 3: "clean", 4: None, 5: "AN ALL CAPS PLACE  AND MORE WORDS HERE 42 Ünd ÀB so it stays"}
 
 
 # ---- 6
