@@ -167,20 +167,31 @@ def run_histograms(im: Indexed) -> list[list[int]]:
     return out
 
 
-def records(w: int | None, h: int | None, px: bytes | None) -> tuple:
-    """The columns of ``RECORDS`` after work_id."""
-    empty = (None, None, None, None, None, None, None, None)
+def indexed(w: int | None, h: int | None, px: bytes | None) -> tuple[str | None, Indexed | None]:
+    """Why a picture is refused, or its indexed form: backdrop folded, enlargement undone."""
+    reason, im, _, _ = _normalised(w, h, px)
+    return reason, im
+
+
+def _normalised(w: int | None, h: int | None, px: bytes | None) -> tuple[str | None, Indexed | None, int, bool]:
     if w is None or h is None or px is None or w < 1 or h < 1 or len(px) != 4 * w * h:
-        return ("damaged", *empty)
+        return "damaged", None, 1, False
     if w > MAX_SIDE or h > MAX_SIDE or w * h > MAX_PIXELS:
-        return ("limit", *empty)
+        return "limit", None, 1, False
     image = np.frombuffer(px, np.uint8).reshape(h, w, 4)
     folded = fold_matte(image)
     image = image if folded is None else folded
     k = upscale_factor(image)
-    im = Indexed(image[::k, ::k])
+    return None, Indexed(image[::k, ::k]), k, folded is not None
+
+
+def records(w: int | None, h: int | None, px: bytes | None) -> tuple:
+    """The columns of ``RECORDS`` after work_id."""
+    reason, im, k, matte = _normalised(w, h, px)
+    if im is None:
+        return (reason, *(None,) * 8)
     thumb = thumbnail(im)
-    return (None, k, folded is not None, len(im.n), brightness(thumb), palette_record(im), adjacency_record(im), run_histograms(im), thumb.reshape(-1).tolist())
+    return (None, k, matte, len(im.n), brightness(thumb), palette_record(im), adjacency_record(im), run_histograms(im), thumb.reshape(-1).tolist())
 
 
 def image_records(images: DataFrame) -> DataFrame:

@@ -103,3 +103,21 @@ def transitions(old: DataFrame, new: DataFrame, key: list[str], kind: str, state
     """``kind, old, new, n``: how the states of the same rows moved from one calibration to the other."""
     both = old.select(*key, F.col(kind).alias("kind"), F.col(state).alias("old")).join(new.select(*key, F.col(state).alias("new")), key)
     return both.groupBy("kind", "old", "new").agg(F.count("*").alias("n"))
+
+
+def arrival_pairs(works: DataFrame, keys: list[str], order: tuple[str, ...], id: str) -> DataFrame:
+    """``earlier, later``: works that share the keys, each pair once, from the one that arrives later.
+
+    A work looks for those before it and is added only then, so no pair is examined twice however the batches are cut.
+    """
+    x = works.select(*keys, F.col(id).alias("earlier"), F.struct(*order).alias("__x"))
+    y = works.select(*keys, F.col(id).alias("later"), F.struct(*order).alias("__y"))
+    return x.join(y, keys).where(F.col("__x") < F.col("__y")).select("earlier", "later")
+
+
+def failure_class(rows: DataFrame, classes: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``class``: the first that applies, ``ok`` if none. What is permanent is not tried again."""
+    out = F
+    for name, applies in classes.items():
+        out = out.when(F.coalesce(applies, F.lit(False)), name)
+    return rows.withColumn("class", out.otherwise("ok"))

@@ -140,8 +140,7 @@ def _codes(spark, sf) -> DataFrame:
 
 
 @query(
-    f"WITH {_CODES} SELECT q.id AS query, c.id AS id, CAST({_HAM.format('q.code', 'c.code')} AS INT) AS distance FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 50 = 0 AND {_HAM.format('q.code', 'c.code')} <= 20 "
-    "AND len(list_filter(range(0, 8), lambda i: ((q.code >> (8 * i)::INT) & 255) = ((c.code >> (8 * i)::INT) & 255))) > 0"
+    f"WITH {_CODES} SELECT q.id AS query, c.id AS id, CAST({_HAM.format('q.code', 'c.code')} AS INT) AS distance FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 50 = 0 AND {_HAM.format('q.code', 'c.code')} <= 20"
 )
 def chunk_join_hamming(spark, sf):
     codes = _codes(spark, sf)
@@ -192,7 +191,7 @@ def _project_sql(p: int, n: int) -> str:
     return " + ".join(f"(((d[{place // 64 + 1}] >> {place % 64}) & 1) << {i})" for i, place in enumerate(matching.projection_places(p, n)))
 
 
-_LSH = "codes AS (" + " UNION ALL ".join(f"SELECT work, part, {p} AS p, CAST({_project_sql(p, 8)} AS INT) AS code FROM parts" for p in range(6)) + ")"
+_LSH = "codes AS (" + " UNION ALL ".join(f"SELECT work, part, {p} AS p, CAST({_project_sql(p, matching.BITS)} AS INT) AS code FROM parts" for p in range(matching.PROJECTIONS)) + ")"
 
 
 @query(
@@ -204,7 +203,7 @@ def lsh_support_join(spark, sf):
 
 
 @query(
-    f"WITH v AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings), s AS (SELECT q.vec_id AS query, c.vec_id AS id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id < 16 AND c.vec_id <> q.vec_id), "
+    f"WITH v AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings), s AS (SELECT q.vec_id AS query, c.vec_id AS id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
 )
 def cosine_knn(spark, sf):
@@ -318,7 +317,7 @@ def si_cells(spark, sf):
 
 _BANDS = "list_transform(range(0, 8), lambda k: (v[8 * k + 1] // 8) * 1000 + v[8 * k + 5] // 8)"
 _SI_SCORE = f"""{_SI}, k AS (SELECT id, cell, coarse, {_BANDS} AS bands FROM s),
-p AS (SELECT q.id AS query, c.id AS id, CASE WHEN q.cell = c.cell THEN 31 WHEN q.coarse = c.coarse THEN 9 ELSE -12 END AS w, len(list_filter(range(1, 9), lambda i: q.bands[i] = c.bands[i])) AS n FROM k q JOIN k c ON q.id < 16),
+p AS (SELECT q.id AS query, c.id AS id, CASE WHEN q.cell = c.cell THEN 31 WHEN q.coarse = c.coarse THEN 9 ELSE -12 END AS w, len(list_filter(range(1, 9), lambda i: q.bands[i] = c.bands[i])) AS n FROM k q JOIN k c ON true),
 t AS (SELECT query, id, w + CASE WHEN n = 0 THEN -8 WHEN n = 1 THEN 14 WHEN n <= 3 THEN 33 ELSE 52 END AS score FROM p WHERE w > 0 OR n > 0)"""
 
 
@@ -549,19 +548,11 @@ def calibration_metrics(spark, sf):
     return judged.groupBy("category").agg(F.count("*").alias("pairs"), F.count_if(F.col("code").isin(3, 4)).alias("certified"), F.count_if(F.col("code").isin(2, 3, 4)).alias("suspected"))
 
 
-@query(f"WITH {_verdict_sql(3300, 'v')} SELECT ((max(structural) // 100) + 1) * 100 AS moderate FROM v WHERE certifiable AND state IN ('Related', 'Suspected') AND basis NOT LIKE '%geometric%' AND pair % 2 = 1")
-def moderate_bar(spark, sf):
-    """The bar above what structure alone gives to pairs of different authors."""
-    rows = _pairs(spark, sf).where("same_author = 0")
-    alone = rows.where(F.col("certifiable").cast("boolean") & F.col("verdict").isin("Related", "Suspected") & ~F.array_contains("basis", "geometric"))
-    return alone.agg(ints.round_up(F.max("structural"), 100).alias("moderate"))
-
-
 # ---- the store ----
-_STORED = f"""{_verdict_sql(3300, 'v')}, s0 AS (SELECT o_custkey AS x, (o_custkey * 7 + o_orderkey) % 1500 AS y, v.state, v.structural, v.certifiable, epoch(o_orderdate)::BIGINT AS computed, o_orderkey AS k FROM v JOIN orders ON o_orderkey = pair),
+_STORED = f"""{_verdict_sql(3300, 'v')}, s0 AS (SELECT o_custkey AS x, (o_custkey * 7 + o_orderkey) % 1500 AS y, v.state, v.structural, v.certifiable, epoch(o_orderdate)::BIGINT AS computed, o_orderkey AS k, v.basis FROM v JOIN orders ON o_orderkey = pair),
 meta AS (SELECT c_custkey AS id, c_nationkey AS author, (c_custkey * 37) % 1000 AS created FROM customer),
 s1 AS (SELECT CASE WHEN mx.created < my.created OR (mx.created = my.created AND x < y) THEN x ELSE y END AS a, CASE WHEN mx.created < my.created OR (mx.created = my.created AND x < y) THEN y ELSE x END AS b, state AS verdict,
-  CASE state WHEN 'Unrelated' THEN 0 WHEN 'Related' THEN 1 WHEN 'Suspected' THEN 2 WHEN 'Copy' THEN 3 ELSE 4 END AS state, structural, CAST(certifiable AS INT) AS certifiable, computed, k, CAST(mx.author = my.author AS INT) AS same_author
+  CASE state WHEN 'Unrelated' THEN 0 WHEN 'Related' THEN 1 WHEN 'Suspected' THEN 2 WHEN 'Copy' THEN 3 ELSE 4 END AS state, structural, CAST(certifiable AS INT) AS certifiable, computed, k, basis, CAST(mx.author = my.author AS INT) AS same_author
   FROM s0 JOIN meta mx ON mx.id = x JOIN meta my ON my.id = y WHERE x <> y),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY computed DESC, k DESC) AS r FROM s1 {{where}}),
 stored AS (SELECT a, b, verdict, state, structural, certifiable, computed, same_author FROM s2 WHERE r = 1)"""
@@ -587,6 +578,14 @@ def _stored(spark, sf, some: str = "true") -> DataFrame:
 _UPSERTED = f"{_STORED.format(where='WHERE k % 3 <> 0')}, n2 AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY computed DESC, k DESC) AS r FROM s1 WHERE k % 3 = 0), u AS (SELECT * FROM stored WHERE NOT EXISTS (SELECT 1 FROM n2 WHERE (n2.a = stored.a AND n2.b = stored.b) OR (n2.a = stored.b AND n2.b = stored.a)) UNION ALL SELECT a, b, verdict, state, structural, certifiable, computed, same_author FROM n2 WHERE r = 1 AND state >= 2)"
 
 
+@query(f"WITH {_STORED.format(where='')} SELECT ((max(structural) // 100) + 1) * 100 AS moderate FROM s1 WHERE same_author = 0 AND certifiable = 1 AND verdict IN ('Related', 'Suspected') AND basis NOT LIKE '%geometric%'")
+def moderate_bar(spark, sf):
+    """The bar above what structure alone gives to pairs of different authors."""
+    rows = _pairs(spark, sf).where("same_author = 0")
+    alone = rows.where(F.col("certifiable").cast("boolean") & F.col("verdict").isin("Related", "Suspected") & ~F.array_contains("basis", "geometric"))
+    return alone.agg(ints.round_up(F.max("structural"), 100).alias("moderate"))
+
+
 @query(f"WITH {_UPSERTED} SELECT * FROM u")
 def verdict_upsert(spark, sf):
     """What two thirds of the checks stored, after the others were made: examined pairs replaced, survivors in."""

@@ -1,4 +1,4 @@
-"""Queries against all pairs that they ask for, counted without the cuts that their SQL in the catalogue makes too."""
+"""Queries against brute force, beside their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from compare import difference, tables
+from compare import tables
 from kindred.operators import nomination
 from kindred.plans import catalogue
 from kindred.plans.catalogue import QUERIES
@@ -17,12 +17,6 @@ def con(sf):
     return tables(sf)
 
 
-def test_hamming_join_has_the_pairs_without_an_equal_byte(spark, sf, con):
-    distance = catalogue._HAM.format("q.code", "c.code")
-    sql = f"WITH {catalogue._CODES} SELECT q.id AS query, c.id AS id, CAST({distance} AS INT) AS distance FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 50 = 0 AND {distance} <= 20"
-    assert difference(QUERIES["chunk_join_hamming"](spark, sf), con, sql) is None
-
-
 def test_chunk_join_by_bytes_and_by_grid(spark):
     codes = spark.createDataFrame([(0, 0), (1, 0x7F), (2, 0x0101010101010101), (3, -1)], "id long, code long")
     near = lambda most: sorted(map(tuple, nomination.chunk_join(codes, codes.where("id = 0"), most).collect()))
@@ -31,13 +25,6 @@ def test_chunk_join_by_bytes_and_by_grid(spark):
     assert near(64) == [(0, 1, 7), (0, 2, 8), (0, 3, 64)]
 
 
-@pytest.mark.parametrize("name", ["cosine_knn", "si_score", "si_topb", "si_threshold"])
-def test_every_vector_is_a_query(spark, sf, con, name):
-    sql = catalogue.ORACLE[name].replace("q.vec_id < 16 AND ", "").replace("ON q.id < 16", "ON true")
-    assert "< 16" not in sql
-    assert difference(QUERIES[name](spark, sf), con, sql) is None
-
-
 def test_support_over_the_whole_table_of_projections(spark, sf, con):
     """By brute force: the parts of neighbouring works, and how many of 24 codes of 12 bits they share."""
     parts = {}
@@ -54,9 +41,3 @@ def test_support_over_the_whole_table_of_projections(spark, sf, con):
                     want.add((a, a + 1, i, j, n))
     assert {tuple(r) for r in QUERIES["lsh_support_join"](spark, sf).select("a", "b", "i", "j", "support").collect()} == want
     assert len(want) > 0
-
-
-def test_bar_of_all_pairs_of_different_authors(spark, sf, con):
-    pairs = catalogue._STORED.format(where="").replace("o_orderkey AS k FROM v JOIN", "o_orderkey AS k, v.basis FROM v JOIN").replace("computed, k, CAST(mx", "computed, k, basis, CAST(mx")
-    sql = f"WITH {pairs} SELECT ((max(structural) // 100) + 1) * 100 AS moderate FROM s1 WHERE same_author = 0 AND certifiable = 1 AND verdict IN ('Related', 'Suspected') AND basis NOT LIKE '%geometric%'"
-    assert difference(QUERIES["moderate_bar"](spark, sf), con, sql) is None
