@@ -264,3 +264,34 @@ def image_keypoints(spark, sf):
 
     found = keypoints.image_keypoints(images.synthetic_images(spark, 200))
     return found.select("work_id", "reason", "max_dim", F.size("points").alias("n"), F.size("sketch").alias("in_sketch"), F.array_max(F.col("points.strength")).alias("strongest"))
+
+
+# ---- pictures compared ----
+@query()
+def picture_records(spark, sf):
+    """Records of made-up pictures, as sizes and digests."""
+    from kindred.operators import comparison, images
+
+    r = comparison.picture_records(images.synthetic_images(spark, 200))
+    return r.select("work_id", "reason", "identity", "width", "height", F.size("codes").alias("n_codes"), F.size("edges").alias("n_edges"), F.size("kp").alias("n_points"), F.xxhash64("dct").alias("dct_hash"))
+
+
+@query()
+def compare_pictures(spark, sf):
+    """Made-up pictures nominated by shared local codes, compared and judged; and each with its damaged version."""
+    from kindred.operators import comparison, images
+
+    r = comparison.picture_records(images.synthetic_images(spark, 120))
+    damaged = r.where("reason IS NOT NULL").select((F.col("work_id") - 3).alias("a"), F.col("work_id").alias("b"))
+    pairs = comparison.nominated(r).select("a", "b").unionByName(damaged)
+    judged = comparison.compare(pairs, r)
+    return judged.select("a", "b", "state", "class", F.array_join("basis", ",").alias("basis"), "structural", "certifiable", "inliers", "models", "topology", "mirrored")
+
+
+@query()
+def picture_copies(spark, sf):
+    """From pixels to the copies of each picture."""
+    from kindred.operators import comparison, images
+
+    found = comparison.copies(comparison.picture_records(images.synthetic_images(spark, 120)))
+    return found.select("a", "b", "state", "structural", "inliers", "mirrored")
