@@ -333,7 +333,8 @@ def _held(index: DataFrame) -> DataFrame:
     turned = [F.lit((j - 4) << 61) for j in range(LEADERS)]  # the least under several orders
     lead = index.groupBy("key").agg(*(F.min(F.when(F.col("y"), F.col("sid").bitwiseXOR(c))).alias(f"l{j}") for j, c in enumerate(turned)), F.count("*").alias("c")).where("c > 1 AND l0 IS NOT NULL")
     lead = lead.select("key", F.array_distinct(F.array(*(F.col(f"l{j}").bitwiseXOR(c) for j, c in enumerate(turned)))).alias("leaders"))
-    return index.select("key", "sid").join(lead, "key")
+    # a table of its own: then the join reads two plain shuffles, and a key of very many sets can be split
+    return index.select("key", "sid").join(shared_table(lead), "key")
 
 
 def _tries(held: DataFrame, width: int) -> DataFrame:
@@ -494,7 +495,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = shared_table(components(_verified(_tries(held, width), sets)))
     release(spark)
     held = shared_table(held.select("key", "sid").join(near.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("least")).where("lo <> hi").select("key", "least")
+    mixed = shared_table(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("least")).where("lo <> hi").select("key", "least"))
     rest = shared_table(held.join(mixed, "key").select("sid", "comp", "least").distinct())
     joined = components(_across(rest, sets))
     release(spark)
