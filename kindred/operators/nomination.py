@@ -114,3 +114,13 @@ def recall(found: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5, 32))
     ranks = truth.join(found.select("query", "id", "rank"), ["query", "id"], "left")
     row = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(F.col("rank") <= k, F.lit(False)).alias("hit")) for k in at))).alias("r")
     return ranks.select(row).groupBy("r.k").agg(F.count_if("r.hit").alias("hits"), F.count("*").alias("total"))
+
+
+def percentiles(rows: DataFrame, column: str, at: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """``percent, value``: values by place in order, not interpolated. Values are counted first, so equal ones cost one row."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    total = counts.agg(F.sum("c").alias("n"))
+    placed = counts.withColumn("upto", upto).join(F.broadcast(total))  # one row
+    percent = F.explode(F.array(*map(F.lit, at))).alias("percent")
+    return placed.select("value", "upto", "n", percent).where(F.col("upto") * 100 >= F.col("n") * F.col("percent")).groupBy("percent").agg(F.min("value").alias("value"))

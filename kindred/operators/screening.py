@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from kindred.functions.ints import _long, idiv
 
 AXES, BINS = 4, 4
-#: Places of the parts of a posting key: family, kind of cell or lane, and value.
-FAMILY_UNIT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -132,13 +130,38 @@ def score_by_definition(queries: DataFrame, probes: DataFrame, works: DataFrame,
 
 def log_likelihood_weights(levels: DataFrame) -> DataFrame:
     """``level, copies, others, weight`` of rows ``(level, is_copy)``: sixteen times the log of the ratio of smoothed shares."""
-    counts = levels.groupBy("level").agg(F.count_if("is_copy").alias("copies"), F.count_if(~F.col("is_copy")).alias("others"))
+    return _weights(levels.groupBy("level").agg(F.count_if("is_copy").alias("copies"), F.count_if(~F.col("is_copy")).alias("others")))
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    """``level, copies, others`` with the weights."""
     total = counts.agg(F.sum("copies").alias("tc"), F.sum("others").alias("tr"), F.count("*").alias("k"))
     share = lambda c, t: (F.col(c) + 0.5) / (F.col(t) + 0.5 * F.col("k"))
     both = counts.join(F.broadcast(total))
     return both.select("level", "copies", "others", F.round(16 * F.ln(share("copies", "tc") / share("others", "tr"))).cast("int").alias("weight"))
 
 
+def pair_weights(works: DataFrame) -> DataFrame:
+    """``log_likelihood_weights`` of all pairs of ``works`` (label, cell, coarse): copies are pairs of one label.
+
+    Pairs are counted from the sizes of groups, each of which is its rows' number times one less, halved.
+    """
+
+    def pairs(*by: str) -> Column:
+        rows = works.groupBy(*by).agg(F.count("*").alias("n")) if by else works.agg(F.count("*").alias("n"))
+        return rows.agg(F.coalesce(F.sum(idiv(F.col("n") * (F.col("n") - 1), 2)), F.lit(0)).cast("long").alias("n"))
+
+    groups = {"c2": ("label", "cell"), "c1": ("label", "coarse"), "c0": ("label",), "t2": ("cell",), "t1": ("coarse",), "t0": ()}
+    counts = None
+    for name, by in groups.items():
+        one = pairs(*by).withColumnRenamed("n", name)
+        counts = one if counts is None else counts.join(F.broadcast(one))  # one row each
+    level = lambda k, c, t: F.struct(F.lit(k).alias("level"), c.alias("copies"), (t - c).alias("others"))
+    col = F.col
+    levels = F.array(level(2, col("c2"), col("t2")), level(1, col("c1") - col("c2"), col("t1") - col("t2")), level(0, col("c0") - col("c1"), col("t0") - col("t1")))
+    return _weights(counts.select(F.explode(levels).alias("l")).select("l.*").where("copies + others > 0"))
+
+
 def admission_threshold(scores: DataFrame, column: str, ppm: int) -> DataFrame:
     """``threshold, n``: the score that ``ppm`` millionths of the rows reach, picked by place, not interpolated."""
     counts = scores.groupBy(column).agg(F.count("*").alias("c"))
@@ -146,3 +169,32 @@ def admission_threshold(scores: DataFrame, column: str, ppm: int) -> DataFrame:
     total = counts.agg(F.sum("c").alias("n"))
     ranked = counts.withColumn("above", above).join(F.broadcast(total))
     return ranked.where(F.col("above") > idiv(F.col("n") * ppm, 1_000_000)).agg(F.max(column).alias("threshold"), F.max("n").alias("n"))
+
+
+def principal_axes(rows: DataFrame, vector: str, dim: int, axes: int = AXES) -> tuple[list[float], list[list[float]], list[float]]:
+    """The mean, the first principal axes, and the share of variance of each, of vectors of up to some hundred components.
+
+    Tasks send sums of products (a row for each pair of components), never vectors; the axes' signs are fixed by their largest part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def sums(parts):
+        n, first, second = 0, np.zeros(dim), np.zeros((dim, dim))
+        for part in parts:
+            x = np.array(part.column(0).to_pylist(), float).reshape(-1, dim)
+            n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
+        i, j = np.triu_indices(dim)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1] * (dim + 1), i])), pa.array(np.concatenate([[-1], np.arange(dim), j])), pa.array(np.concatenate([[n], first, second[i, j]]))], ["i", "j", "s"])
+
+    whole = rows.select(vector).where(F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))))
+    got = whole.mapInArrow(sums, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    at = {(r.i, r.j): r.s for r in got}
+    n = max(1.0, at.get((-1, -1), 0.0))
+    mean = np.array([at.get((-1, k), 0.0) for k in range(dim)]) / n
+    spread = np.array([[at.get((min(a, b), max(a, b)), 0.0) for b in range(dim)] for a in range(dim)]) / n - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(spread)
+    order = np.argsort(-values)[:axes]
+    chosen = vectors[:, order].T
+    chosen *= np.sign(chosen[np.arange(len(chosen)), np.abs(chosen).argmax(1)])[:, None]
+    return mean.tolist(), chosen.tolist(), (values[order] / max(values.sum(), 1e-300)).tolist()

@@ -148,7 +148,9 @@ def chunk_join_hamming(spark, sf):
 
 
 _DESC = "parts AS (SELECT vec_id // 64 AS work, CAST(vec_id % 64 AS INT) AS part, [" + ", ".join(_sum_bits(f"embedding[i] < embedding[(i - 1 + {s}) % 64 + 1]") for s in (1, 7, 19, 31)) + "] AS d FROM embeddings)"
-_DIST = "dist AS (SELECT l.work AS a, r.work AS b, l.part AS i, r.part AS j, CAST(" + " + ".join(f"bit_count(xor(l.d[{k}], r.d[{k}]))::INT" for k in range(1, 5)) + " AS INT) AS d FROM parts l JOIN parts r ON r.work = l.work + 1)"
+_DIST = "dist AS (SELECT l.work AS a, r.work AS b, l.part AS i, r.part AS j, CAST(" + " + ".join(f"bit_count(xor(l.d[{k}], r.d[{k}]))::INT" for k in range(1, 5)) + " AS INT) AS d FROM met JOIN parts l ON l.work = met.a JOIN parts r ON r.work = met.b)"
+#: Works that share a key, which is the upper 16 bits of a code.
+_MET = f"{_CODES}, tops AS (SELECT DISTINCT id // 64 AS work, (code >> 48) & 65535 AS k FROM codes), met AS (SELECT DISTINCT x.work AS a, y.work AS b FROM tops x JOIN tops y ON x.k = y.k AND x.work < y.work)"
 
 
 def _parts(spark, sf) -> DataFrame:
@@ -156,16 +158,17 @@ def _parts(spark, sf) -> DataFrame:
     return e.select(ints.idiv(F.col("vec_id"), _PARTS).alias("work"), (F.col("vec_id") % _PARTS).cast("int").alias("part"), bits.shifted_descriptor(F.col("embedding")).alias("desc"))
 
 
-def _neighbours(parts: DataFrame) -> DataFrame:
-    works = parts.select("work").distinct()
-    return works.select(F.col("work").alias("a"), (F.col("work") + 1).alias("b")).join(works.select(F.col("work").alias("b")), "b", "left_semi").select("a", "b")
+def _met(spark, sf) -> DataFrame:
+    """Pairs of works that share a key."""
+    keys = _codes(spark, sf).select(ints.idiv(F.col("id"), _PARTS).alias("work"), F.shiftrightunsigned("code", 48).alias("k")).distinct()
+    return keys.select(F.col("work").alias("a"), "k").join(keys.select(F.col("work").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
 
 
-@query(f"WITH {_DESC}, {_DIST}, r AS (SELECT *, row_number() OVER (PARTITION BY a, b, i ORDER BY d, j) AS rank FROM dist) SELECT a, b, i, j, d, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+@query(f"WITH {_MET}, {_DESC}, {_DIST}, r AS (SELECT *, row_number() OVER (PARTITION BY a, b, i ORDER BY d, j) AS rank FROM dist) SELECT a, b, i, j, d, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def hamming_knn(spark, sf):
     parts = _parts(spark, sf)
     rank = F.row_number().over(Window.partitionBy("a", "b", "i").orderBy("d", "j"))
-    return matching.within_pairs(_neighbours(parts), parts).withColumn("rank", rank).where("rank <= 3")
+    return matching.within_pairs(_met(spark, sf), parts).withColumn("rank", rank).where("rank <= 3")
 
 
 _MUTUAL = """m AS (
@@ -175,16 +178,16 @@ _MUTUAL = """m AS (
   WHERE ra = 1 AND rb = 1 AND d <= {ham} AND d * 100 < 95 * a2 AND d * 100 < 95 * b2 AND a2 - d >= 2 AND b2 - d >= 2)"""
 
 
-@query(f"WITH {_DESC}, {_DIST}, {_MUTUAL.format(ham=120)} SELECT * FROM c")
+@query(f"WITH {_MET}, {_DESC}, {_DIST}, {_MUTUAL.format(ham=120)} SELECT * FROM c")
 def mutual_best_lowe(spark, sf):
     parts = _parts(spark, sf)
-    return matching.mutual_best(matching.within_pairs(_neighbours(parts), parts), ham_max=120, lowe=(95, 100), margin=2)
+    return matching.mutual_best(matching.within_pairs(_met(spark, sf), parts), ham_max=120, lowe=(95, 100), margin=2)
 
 
-@query(f"WITH {_DESC}, {_DIST}, {_MUTUAL.format(ham=256)} SELECT a, b, count(*) AS n FROM c GROUP BY a, b HAVING count(*) >= 4")
+@query(f"WITH {_MET}, {_DESC}, {_DIST}, {_MUTUAL.format(ham=256)} SELECT a, b, count(*) AS n FROM c GROUP BY a, b HAVING count(*) >= 4")
 def screen_pairs(spark, sf):
     parts = _parts(spark, sf)
-    return matching.screen(matching.mutual_best(matching.within_pairs(_neighbours(parts), parts), ham_max=256, lowe=(95, 100), margin=2), least=4)
+    return matching.screen(matching.mutual_best(matching.within_pairs(_met(spark, sf), parts), ham_max=256, lowe=(95, 100), margin=2), least=4)
 
 
 def _project_sql(p: int, n: int) -> str:
@@ -195,11 +198,11 @@ _LSH = "codes AS (" + " UNION ALL ".join(f"SELECT work, part, {p} AS p, CAST({_p
 
 
 @query(
-    f"WITH {_DESC}, {_LSH}, cool AS (SELECT *, count(*) OVER (PARTITION BY work, p, code) AS n FROM codes) SELECT l.work AS a, r.work AS b, l.part AS i, r.part AS j, count(*) AS support FROM cool l JOIN cool r ON r.work = l.work + 1 AND l.p = r.p AND l.code = r.code WHERE l.n <= 16 AND r.n <= 16 GROUP BY ALL HAVING count(*) >= 2"
+    f"WITH {_MET}, {_DESC}, {_LSH.replace('codes AS', 'lsh AS')}, cool AS (SELECT *, count(*) OVER (PARTITION BY work, p, code) AS n FROM lsh) SELECT l.work AS a, r.work AS b, l.part AS i, r.part AS j, count(*) AS support FROM met JOIN cool l ON l.work = met.a JOIN cool r ON r.work = met.b AND l.p = r.p AND l.code = r.code WHERE l.n <= 16 AND r.n <= 16 GROUP BY ALL HAVING count(*) >= 2"
 )
 def lsh_support_join(spark, sf):
     parts = _parts(spark, sf)
-    return matching.lsh_support(_neighbours(parts), parts)
+    return matching.lsh_support(_met(spark, sf), parts)
 
 
 @query(
@@ -227,7 +230,17 @@ def burst_weights(spark, sf):
     return matching.bursts(codes, most=24)
 
 
-@query()
+def _signed(x: str) -> str:
+    return f"CASE WHEN {x} >= 9223372036854775808 THEN ({x}::HUGEINT - 18446744073709551616)::BIGINT ELSE {x}::BIGINT END"
+
+
+_TURNED = ", ".join(f"(((c::UHUGEINT << {k}) % 18446744073709551616::UHUGEINT)::UBIGINT | (c >> {64 - k})) AS r{k}" for k in (16, 32, 48))
+
+
+@query(
+    f"WITH {_CODES}, u AS (SELECT id, code, (CASE WHEN code < 0 THEN code::HUGEINT + 18446744073709551616 ELSE code END)::UBIGINT AS c FROM codes), t AS (SELECT *, {_TURNED}, list_reduce(list_concat([0::UBIGINT], list_transform(range(0, 64), lambda i: ((c >> i::UBIGINT) & 1) << (63 - i)::UBIGINT)), lambda x, y: x | y) AS rr FROM u) "
+    f"SELECT id, code, {_signed('r16')} AS rot16, {_signed('r32')} AS rot32, {_signed('r48')} AS rot48, {_signed('rr')} AS reversed, CAST(bit_count(c) AS INT) AS set_bits, true AS kept FROM t"
+)
 def code_maps(spark, sf):
     """Rotations and the reversal of the codes; none changes how many bits are set."""
     c = F.col("code")
@@ -256,13 +269,19 @@ def _lanes_sql(n: int) -> str:
 
 
 @query(
-    f"WITH {_WORDS}, {_lanes_sql(8)} SELECT x.doc_id AS a, y.doc_id AS b, CAST(len(list_filter(list_zip(x.lanes, y.lanes), lambda p: p[1] = p[2])) AS INT) AS equal_lanes, "
-    "CAST(CASE len(list_filter(range(1, 8, 2), lambda i: x.lanes[i] = y.lanes[i] AND x.lanes[i + 1] = y.lanes[i + 1])) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM l x JOIN l y ON y.doc_id = x.doc_id + 1"
+    f"WITH {_WORDS}, {_lanes_sql(8)}, bands AS (SELECT doc_id, i, lanes[i] * 256 + lanes[i + 1] AS v FROM l, range(1, 8, 2) t(i)), few AS (SELECT i, v FROM bands GROUP BY i, v HAVING count(*) <= 64), "
+    "met AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN few USING (i, v) JOIN bands y USING (i, v) WHERE x.doc_id < y.doc_id) SELECT x.doc_id AS a, y.doc_id AS b, CAST(len(list_filter(list_zip(x.lanes, y.lanes), lambda p: p[1] = p[2])) AS INT) AS equal_lanes, "
+    "CAST(CASE len(list_filter(range(1, 8, 2), lambda i: x.lanes[i] = y.lanes[i] AND x.lanes[i + 1] = y.lanes[i + 1])) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM met JOIN l x ON x.doc_id = met.a JOIN l y ON y.doc_id = met.b"
 )
 def minhash_agree(spark, sf):
     lanes = sketches.minhash_lanes(_words(spark, sf), "doc_id", "word", 8)
-    a, b = lanes.select(F.col("doc_id").alias("a"), F.col("lanes").alias("la"), (F.col("doc_id") + 1).alias("b")), lanes.select(F.col("doc_id").alias("b"), F.col("lanes").alias("lb"))
-    return a.join(b, "b").select("a", "b", sketches.equal_lanes(F.col("la"), F.col("lb")).alias("equal_lanes"), sketches.agreement_level(F.col("la"), F.col("lb")).alias("level"))
+    bands = lanes.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col("lanes")[i] * 256 + F.col("lanes")[i + 1]).alias("v")) for i in range(0, 8, 2)))).alias("k")).select("doc_id", "k.*")
+    # a band that more than a few works hold tells nothing, as a key of many works does not
+    few = bands.groupBy("i", "v").agg(F.count("*").alias("n")).where("n <= 64").select("i", "v")
+    held = bands.join(few, ["i", "v"], "left_semi")
+    met = held.withColumnRenamed("doc_id", "a").join(held.withColumnRenamed("doc_id", "b"), ["i", "v"]).where("a < b").select("a", "b").distinct()
+    a, b = lanes.select(F.col("doc_id").alias("a"), F.col("lanes").alias("la")), lanes.select(F.col("doc_id").alias("b"), F.col("lanes").alias("lb"))
+    return met.join(a, "a").join(b, "b").select("a", "b", sketches.equal_lanes(F.col("la"), F.col("lb")).alias("equal_lanes"), sketches.agreement_level(F.col("la"), F.col("lb")).alias("level"))
 
 
 def _jac(x: str, y: str) -> str:
@@ -275,7 +294,7 @@ _ROUTE = f"""r AS (
          + (24 - len(list_filter(range(0, 8), lambda k: (({_ROUTE_X} >> (8 * k)::INT) & 7) <> 0)) - len(list_filter(range(0, 8), lambda k: (({_ROUTE_X} >> (8 * k + 3)::INT) & 7) <> 0))
              - len(list_filter(range(0, 8), lambda k: (({_ROUTE_X} >> (8 * k + 6)::INT) & 3) <> 0))) * 64 // 24 AS g,
          len(list_filter(range(0, 8), lambda k: (({_ROUTE_X} >> (8 * k)::INT) & 255) = 0)) AS l
-  FROM codes x JOIN codes y ON y.id = x.id + 1)"""
+  FROM codes x JOIN codes y ON x.id % 50 = 0 AND x.id <> y.id AND len(list_filter(range(0, 8), lambda i: ((x.code >> (8 * i)::INT) & 255) = ((y.code >> (8 * i)::INT) & 255))) > 0)"""
 
 
 @query(
@@ -284,9 +303,11 @@ _ROUTE = f"""r AS (
 def route_class(spark, sf):
     codes = _codes(spark, sf)
     words = F.array("code", "code", "code", "code")
-    a = codes.select(F.col("id").alias("a"), F.col("code").alias("ca"), words.alias("wa"), (F.col("id") + 1).alias("b"))
+    pieces = codes.select("id", F.explode(bits.bytes_of(F.col("code"))).alias("c")).select("id", "c.*")
+    pairs = pieces.where("id % 50 = 0").withColumnRenamed("id", "a").join(pieces.withColumnRenamed("id", "b"), ["idx", "val"]).where("a <> b").select("a", "b").distinct()
+    a = codes.select(F.col("id").alias("a"), F.col("code").alias("ca"), words.alias("wa"))
     b = codes.select(F.col("id").alias("b"), F.col("code").alias("cb"), words.alias("wb"))
-    met = a.join(b, "b").withColumn("global_score", sketches.global_similarity(F.col("wa"), F.col("wb")))
+    met = pairs.join(a, "a").join(b, "b").withColumn("global_score", sketches.global_similarity(F.col("wa"), F.col("wb")))
     same = lambda p, q: p["val"] == q["val"]
     met = met.withColumn("local_score", F.size(F.filter(F.zip_with(bits.bytes_of(F.col("ca")), bits.bytes_of(F.col("cb")), same), lambda s: s)))
     scores = {"local": (F.col("local_score"), F.col("a") % 7 != 0), "global": (F.col("global_score"), F.col("a") % 3 != 0)}
@@ -346,15 +367,13 @@ def si_topb(spark, sf):
 
 
 @query(
-    f"WITH {_SI}, p AS (SELECT CASE WHEN x.cell = y.cell THEN 2 WHEN x.coarse = y.coarse THEN 1 ELSE 0 END AS level, ex.label = ey.label AS same FROM s x JOIN s y ON y.id = x.id + 1 JOIN embeddings ex ON ex.vec_id = x.id JOIN embeddings ey ON ey.vec_id = y.id), "
+    f"WITH {_SI}, p AS (SELECT CASE WHEN x.cell = y.cell THEN 2 WHEN x.coarse = y.coarse THEN 1 ELSE 0 END AS level, ex.label = ey.label AS same FROM s x JOIN s y ON y.id > x.id JOIN embeddings ex ON ex.vec_id = x.id JOIN embeddings ey ON ey.vec_id = y.id), "
     "c AS (SELECT level, count(*) FILTER (WHERE same) AS copies, count(*) FILTER (WHERE NOT same) AS others FROM p GROUP BY level), t AS (SELECT sum(copies) AS tc, sum(others) AS tr, count(*) AS k FROM c) "
     "SELECT CAST(level AS INT) AS level, copies, others, CAST(round(16 * ln(((copies + 0.5) / (tc + 0.5 * k)) / ((others + 0.5) / (tr + 0.5 * k)))) AS INT) AS weight FROM c, t"
 )
 def si_fit_weights(spark, sf):
-    s = _screened(spark, sf).select("id", "label", "cell", "coarse")
-    x, y = s.select((F.col("id") + 1).alias("id"), *(F.col(c).alias(f"x_{c}") for c in ("label", "cell", "coarse"))), s
-    level = F.when(F.col("x_cell") == F.col("cell"), 2).when(F.col("x_coarse") == F.col("coarse"), 1).otherwise(0)
-    return screening.log_likelihood_weights(x.join(y, "id").select(level.alias("level"), (F.col("x_label") == F.col("label")).alias("is_copy")))
+    """Weights from all pairs of works, counted by cell and label: no pair is made."""
+    return screening.pair_weights(_screened(spark, sf).select("label", "cell", "coarse"))
 
 
 @query(f"WITH {_SI_SCORE}, n AS (SELECT count(*) AS n FROM t), r AS (SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS r FROM t) SELECT CAST(score AS INT) AS threshold, n FROM r, n WHERE r = n * 10000 // 1000000")
@@ -384,13 +403,16 @@ def _runs_sql(turn: int) -> str:
 
 @query(
     f"WITH {_RUNS}, h AS (SELECT user_id, list_transform(range(0, 16), lambda i: CAST(coalesce(list_sum(list_transform(list_filter(list({{'b': bin, 'n': n}}), lambda e: e.b = i), lambda e: e.n)), 0) * 255 // sum(n) AS BIGINT)) AS h FROM c GROUP BY user_id), "
-    f"p AS (SELECT x.user_id AS a, y.user_id AS b, {_runs_sql(0)} AS raw, least(10000, {_runs_sql(4)}, {_runs_sql(8)}, {_runs_sql(12)}) AS control, NOT (list_max(x.h) * 100 >= list_sum(x.h) * 95 OR list_max(y.h) * 100 >= list_sum(y.h) * 95) AS measurable FROM h x JOIN h y ON y.user_id = x.user_id + 1) "
+    f"p AS (SELECT x.user_id AS a, y.user_id AS b, {_runs_sql(0)} AS raw, least(10000, {_runs_sql(4)}, {_runs_sql(8)}, {_runs_sql(12)}) AS control, NOT (list_max(x.h) * 100 >= list_sum(x.h) * 95 OR list_max(y.h) * 100 >= list_sum(y.h) * 95) AS measurable FROM h x JOIN h y ON x.user_id % 50 = 0 AND y.user_id <> x.user_id) "
     "SELECT a, b, CAST(raw AS BIGINT) AS raw, CAST(control AS BIGINT) AS control, measurable, CAST(CASE WHEN NOT measurable OR control >= 10000 THEN 0 ELSE greatest(0, least(10000, (raw - control) * 10000 // (10000 - control))) END AS BIGINT) AS value FROM p"
 )
 def runs_channel(spark, sf):
     h = sequences.run_histogram(_runs(spark, sf), "user_id")
-    x, y = h.select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"), F.col("hist").alias("ha")), h.select(F.col("user_id").alias("b"), F.col("hist").alias("hb"))
-    return sequences.runs_channel(x.join(y, "b")).select("a", "b", "raw", "control", "measurable", "value")
+    # every fiftieth user against all, in the cells of a grid
+    every, place = F.explode(F.sequence(F.lit(0), F.lit(nomination.GRID - 1))), lambda c: F.pmod(F.xxhash64(c), F.lit(nomination.GRID)).cast("int")
+    x = h.where("user_id % 50 = 0").select(F.col("user_id").alias("a"), F.col("hist").alias("ha"), place("user_id").alias("row"), every.alias("column"))
+    y = h.select(F.col("user_id").alias("b"), F.col("hist").alias("hb"), every.alias("row"), place("user_id").alias("column"))
+    return sequences.runs_channel(x.join(y, ["row", "column"]).where("a <> b")).select("a", "b", "raw", "control", "measurable", "value")
 
 
 _MIDPOINT = "SELECT {g}, {v}, n, CAST(rank AS INT) AS rank, q AS quantile, CAST(q >> 5 AS INT) AS band FROM (SELECT *, CAST(greatest(0, least(255, ((2 * below + n) * 255 + total) // (2 * total))) AS BIGINT) AS q FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY {v}) - 1 AS rank, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER (PARTITION BY {g}) AS total FROM (SELECT {g}, {v}, count(*) AS n FROM {t} GROUP BY ALL)))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import ints, mixers
 from kindred.operators import evidence, keypoints, signatures, store
-from kindred.plans.catalogue import _CODES, _DESC, _WHOLE, _codes, _parts, _stored, _STORED, _t, query
+from kindred.plans.catalogue import _CODES, _DESC, _WHOLE, _codes, _met, _parts, _stored, _STORED, _t, query
 
 # ---- mixers and keys ----
 
@@ -228,12 +228,6 @@ def verified_transforms(spark, sf):
     return evidence.verified(votes, evidence.vote_peaks(votes, ["s"]), ["s"])
 
 
-def _work_pairs(spark, sf) -> DataFrame:
-    """Pairs of works that share a key: a code's top 16 bits."""
-    keys = _codes(spark, sf).select(ints.idiv(F.col("id"), 64).alias("work"), F.shiftrightunsigned("code", 48).alias("k")).distinct()
-    return keys.select(F.col("work").alias("a"), "k").join(keys.select(F.col("work").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-
-
 _PAIRED = f"{_CODES}, o AS (SELECT id // 64 AS work, code, (code >> 48) & 65535 AS k FROM codes), pairs AS (SELECT DISTINCT x.work AS a, y.work AS b FROM o x JOIN o y ON x.k = y.k AND x.work < y.work)"
 
 
@@ -245,7 +239,7 @@ _PAIRED = f"{_CODES}, o AS (SELECT id // 64 AS work, code, (code >> 48) & 65535
 )
 def bag_distances(spark, sf):
     codes = _codes(spark, sf).select(ints.idiv(F.col("id"), 64).alias("work"), "code")
-    return evidence.bag_distances(_work_pairs(spark, sf), codes, near=24)
+    return evidence.bag_distances(_met(spark, sf), codes, near=24)
 
 
 @query()
@@ -254,7 +248,7 @@ def local_evidence(spark, sf):
     points = _points(spark, sf).join(_codes(spark, sf).select(ints.idiv(F.col("id"), 64).alias("work"), (F.col("id") % 64).cast("int").alias("part"), "code"), ["work", "part"])
     rows = F.array_sort(F.collect_list(F.struct("part", "code", "x", "y")))
     bags = points.groupBy("work").agg(rows.alias("r")).select("work", F.col("r.code").alias("codes"), F.col("r.x").alias("x"), F.col("r.y").alias("y"))
-    return evidence.local_evidence(_work_pairs(spark, sf), bags)
+    return evidence.local_evidence(_met(spark, sf), bags)
 
 
 @query()
@@ -295,3 +289,34 @@ def picture_copies(spark, sf):
 
     found = comparison.copies(comparison.picture_records(images.synthetic_images(spark, 120)))
     return found.select("a", "b", "state", "structural", "inliers", "mirrored")
+
+
+@query(
+    "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS m FROM c) "
+    "SELECT CAST(p AS INT) AS percent, min(n) AS value FROM r, (VALUES (50), (90), (95), (99)) t(p) WHERE k * 100 >= m * p GROUP BY p"
+)
+def pool_percentiles(spark, sf):
+    """Sizes of users' pools of events, by place in order."""
+    from kindred.operators import nomination
+
+    return nomination.percentiles(_t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")), "n")
+
+
+@query()
+def principal_axes(spark, sf):
+    """The first axes of the embeddings, from sums of products."""
+    from kindred.operators import screening
+
+    _, axes, shares = screening.principal_axes(_t(spark, sf, "embeddings"), "embedding", 64)
+    return spark.createDataFrame([(k, share, axis) for k, (axis, share) in enumerate(zip(axes, shares, strict=True))], "axis int, share double, weights array<double>")
+
+
+@query()
+def keypoint_containers(spark, sf):
+    """Key points of made-up pictures written to containers and read again."""
+    from kindred.operators import images
+    from kindred.sources import containers
+
+    found = keypoints.image_keypoints(images.synthetic_images(spark, 80))
+    back = containers.read_containers(containers.write_containers(found))
+    return back.select("work_id", "reason", "longest", F.size("points").alias("n"), F.xxhash64("points").alias("points_hash"))

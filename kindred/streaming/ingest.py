@@ -50,13 +50,22 @@ class CountedWindows:
 class StagedTable:
     """A table that micro-batches upsert: a version a batch, the newest readable, a batch that is repeated changes nothing.
 
-    ``path`` must be in a folder that driver and executors share.
+    ``path`` must be in a folder that driver and executors share. The batch that a version comes from is in the name of
+    its folder, and counts once its writer has marked it as whole: a driver that starts again goes on from there.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, version: str, tie: str):
         self.spark, self.path, self.key, self.version, self.tie = spark, path.rstrip("/"), key, version, tie
-        self.current: str | None = None
-        self.done = -1
+        whole = [(int(name[1:].split("-")[0]), name) for name in self._folders()]
+        self.done, name = max(whole, default=(-1, ""))
+        self.current: str | None = f"{self.path}/{name}" if name else None
+
+    def _folders(self) -> list[str]:
+        """Versions that were written to the end."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        pattern = hadoop(f"{self.path}/v*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return [f.getPath().getParent().getName() for f in found]
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(self.current) if self.current else None

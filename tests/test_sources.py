@@ -116,3 +116,33 @@ def test_codes_are_the_same_for_all_symmetries_and_the_inverse():
 def test_components():
     labels = np.array([[1, 1, 0, 2], [0, 1, 0, 2], [0, 0, 0, 2], [-1, 2, 2, 2]])
     assert images.components(labels).tolist() == [[0, 0, 1, 2], [1, 0, 1, 2], [1, 1, 1, 2], [-1, 2, 2, 2]]
+
+
+def test_containers_come_back_and_damaged_ones_have_reasons(spark):
+    from kindred.operators import keypoints
+    from kindred.sources import containers
+
+    pictures = images.synthetic_images(spark, 8)
+    found = keypoints.image_keypoints(pictures).cache()
+    made = containers.write_containers(found)
+    want = {r.work_id: r.points for r in found.collect()}
+    got = {r.work_id: r for r in containers.read_containers(made).collect()}
+    assert any(want.values()) and all(got[k].points == p for k, p in want.items() if p is not None)
+    assert {r.reason for k, r in got.items() if want[k] is None} == {"too short"}
+    data = containers.write([{"desc": [1, -2, 3, -4], "x": 5, "y": 6, "level": 1, "sector": 63, "strength": 9}], 300)
+    assert len(data) == 72 and containers.read(data)[1]["points"][0] == {"desc": [1, -2, 3, -4], "x": 5, "y": 6, "level": 1, "sector": 63, "strength": 9}
+    for bad, reason in ((data[:40], "length and count differ"), (data[:-1] + b"x", "checksum"), (b"XXXX" + data[4:], "not a container"), (b"", "too short"), (None, "too short")):
+        assert containers.read(bad) == (reason, None)
+    old = spark.createDataFrame([(1, data[:4] + b"\x03" + data[5:])], "work_id long, container binary")
+    assert containers.read_containers(old).first().reason == "version"
+
+
+def test_principal_axes_are_those_of_the_whole(spark):
+    from kindred.operators import screening
+
+    x = np.random.default_rng(4).normal(size=(500, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,), ([1.0],)], "v array<double>").repartition(4)
+    mean, axes, shares = screening.principal_axes(df, "v", 6)
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(shares, values[::-1][:4] / values.sum())
+    assert all(abs(abs(np.dot(a, v)) - 1) < 1e-6 for a, v in zip(axes, vectors.T[::-1], strict=False))
