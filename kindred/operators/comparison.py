@@ -6,18 +6,20 @@ one call of a kernel, which measures everything; the rules that judge it are a c
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import ints
 from kindred.functions.mixers import mix32
 from kindred.functions.verdict import CURRENT, Calibration, verdict
-from kindred.operators import evidence, images, keypoints
+from kindred.operators import evidence, images, keypoints, regions
 from kindred.operators.images import ADJACENT, Indexed
 
 SCALE = 10_000
@@ -116,7 +118,7 @@ def colour_digest(im: Indexed, most: int = 16) -> list[list[int]]:
     return [[*map(int, im.colour[i]), min(255, int(im.n[i]) * 255 // int(im.n[0]))] for i in range(min(most, len(im.n)))]
 
 
-RECORD = "work_id long, reason string, identity string, width int, height int, flat boolean, dct array<int>, palette array<array<int>>, edges array<array<int>>, runs array<array<int>>, codes array<bigint>, code_x array<int>, code_y array<int>, kp array<array<bigint>>, kp_x array<int>, kp_y array<int>, kp_level array<int>, kp_sector array<int>, kp_strength array<int>, colours array<array<int>>"
+RECORD = "work_id long, reason string, identity string, width int, height int, flat boolean, dct array<int>, palette array<array<int>>, edges array<array<int>>, runs array<array<int>>, codes array<bigint>, code_x array<int>, code_y array<int>, kp array<array<bigint>>, kp_x array<int>, kp_y array<int>, kp_level array<int>, kp_sector array<int>, kp_strength array<int>, colours array<array<int>>, shapes string, silhouette string, families string, words array<bigint>"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -129,8 +131,6 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def record(w: int | None, h: int | None, px: bytes | None) -> dict:
-    import hashlib
-
     reason, im = images.indexed(w, h, px)
     names = [c.split()[0] for c in RECORD.split(", ")[1:]]
     if im is None:
@@ -143,6 +143,9 @@ def record(w: int | None, h: int | None, px: bytes | None) -> dict:
         "codes": code.view(np.int64).tolist(), "code_x": at[:, 0].tolist(), "code_y": at[:, 1].tolist(), "kp": k["desc"].view(np.int64).tolist(),
         **{f"kp_{c}": k[c].tolist() for c in ("x", "y", "level", "sector", "strength")}, "colours": colour_digest(im),
     }
+    shapes, outline = regions.regions(im), regions.silhouette(im)
+    whole = body | {"shapes": shapes, "silhouette": outline, "brightness": images.brightness(thumb), "width": im.index.shape[1], "height": im.index.shape[0]}
+    body |= {"shapes": json.dumps(shapes), "silhouette": json.dumps(outline), "families": json.dumps(regions.families(whole)), "words": regions.route_words(whole)}
     return {"reason": None, "identity": hashlib.sha256(repr(sorted(body.items())).encode()).hexdigest(), "width": im.index.shape[1], "height": im.index.shape[0], **body}
 
 
@@ -436,7 +439,7 @@ def diversity(b: dict[str, np.ndarray], found: list[tuple[bool, np.ndarray]]) ->
 
 # ---- the comparator ----
 MEASURED = (
-    "a long, b long, reason string, identical boolean, local long, local_m boolean, dct long, dct_m boolean, topology_value long, topology_m boolean, runs long, runs_m boolean, palette long, palette_m boolean, "
+    "a long, b long, reason string, identical boolean, local long, local_m boolean, dct long, dct_m boolean, topology_value long, topology_m boolean, runs long, runs_m boolean, palette long, palette_m boolean, shape long, shape_m boolean, silhouette long, silhouette_m boolean, "
     "coverage long, diversity long, geo_measurable boolean, inliers long, geo_control long, geo_margin long, models long, topology long, mirrored boolean, geo_diversity long"
 )
 
@@ -455,7 +458,7 @@ def measure(a: dict, b: dict) -> dict:
     local = evidence.local_channel(*codes)
     covers = [_coverage([r["code_x"][p[k]] for p in local["pairs"]], [r["code_y"][p[k]] for p in local["pairs"]]) for k, r in enumerate((a, b))]
     out = {"reason": None, "identical": a["identity"] == b["identity"], "local": local["margin"], "local_m": local["measurable"], "coverage": min(covers), "diversity": local["diversity"], **geometry(a, b)}
-    for name, (value, measurable) in (("dct", dct_channel(a, b)), ("topology_value", topology_channel(a, b)), ("runs", runs_channel(a, b)), ("palette", palette_channel(a, b))):
+    for name, (value, measurable) in (("dct", dct_channel(a, b)), ("topology_value", topology_channel(a, b)), ("runs", runs_channel(a, b)), ("palette", palette_channel(a, b)), ("shape", regions.shape_channel(*(json.loads(r["shapes"]) for r in (a, b)))), ("silhouette", regions.silhouette_channel(*(json.loads(r["silhouette"]) for r in (a, b))))):
         out |= {name: value, f"{name.removesuffix('_value')}_m": measurable}
     return out
 
@@ -463,8 +466,7 @@ def measure(a: dict, b: dict) -> dict:
 def compare(pairs: DataFrame, records: DataFrame, c: Calibration = CURRENT) -> DataFrame:
     """``pairs`` (a, b) of ``records`` with their evidence and the verdict: ``state, code, class, basis, structural, certifiable``.
 
-    A side that was refused makes the pair Indeterminate, with the reason. Shape and silhouette are not measured, and
-    what is not measured has no part in the mean.
+    A side that was refused makes the pair Indeterminate, with the reason; what cannot be measured has no part in the mean.
     """
     side = lambda n: records.select(F.col("work_id").alias(n), F.struct(*(k for k in records.columns if k != "work_id")).alias(f"r{n}"))
     names = [x.split()[0] for x in MEASURED.split(", ")]
@@ -484,9 +486,8 @@ def compare(pairs: DataFrame, records: DataFrame, c: Calibration = CURRENT) -> D
 def judged(rows: DataFrame, c: Calibration = CURRENT) -> DataFrame:
     """Measured pairs with their verdict under a calibration; the evidence need not be measured anew for another."""
     lut = lambda name, x: ints.lut(x, c.luts[name]) if name in c.luts else x
-    none: tuple[Column, Column] = (F.lit(0).cast("long"), F.lit(False))
     of = lambda name, column: (lut(name, F.coalesce(F.col(column), F.lit(0).cast("long"))), F.coalesce(F.col(f"{name}_m"), F.lit(False)))
-    values = {"local": of("local", "local"), "shape": none, "topology": of("topology", "topology_value"), "runs": of("runs", "runs"), "dct": of("dct", "dct"), "palette": of("palette", "palette"), "silhouette": none}
+    values = {"local": of("local", "local"), "shape": of("shape", "shape"), "topology": of("topology", "topology_value"), "runs": of("runs", "runs"), "dct": of("dct", "dct"), "palette": of("palette", "palette"), "silhouette": of("silhouette", "silhouette")}
     some = lambda name: F.coalesce(F.col(name), F.lit(0).cast("long"))
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     geo = ints.clamp(ints.idiv(lut("geometry", some("geo_margin")) * lut("geo_diversity", some("geo_diversity")), SCALE), 0, SCALE)

@@ -320,3 +320,12 @@ def keypoint_containers(spark, sf):
     found = keypoints.image_keypoints(images.synthetic_images(spark, 80))
     back = containers.read_containers(containers.write_containers(found))
     return back.select("work_id", "reason", "longest", F.size("points").alias("n"), F.xxhash64("points").alias("points_hash"))
+
+
+@query()
+def picture_families(spark, sf):
+    """Family vectors, regions and route words of made-up pictures."""
+    from kindred.operators import comparison, images
+
+    r = comparison.picture_records(images.synthetic_images(spark, 80)).where("reason IS NULL")
+    return r.select("work_id", "families", "words", "shapes", "silhouette")

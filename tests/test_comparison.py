@@ -104,3 +104,52 @@ def test_verdicts_from_pixels(spark):
     # the same evidence under another calibration
     old = comparison.judged(comparison.compare(pairs, records).drop("state", "code", "class", "basis", "structural", "certifiable"), FORMER)
     assert old.where(F.col("b") == 1).first().state == "Copy"
+
+
+# ---- regions ----
+def test_rays_outline_and_holes_of_plain_shapes():
+    from kindred.operators import regions
+
+    ring = np.ones((9, 9), bool)
+    ring[3:6, 3:6] = False
+    assert regions.holes(ring) == 1 and regions.holes(np.ones((4, 4), bool)) == 0
+    assert regions.outline(np.ones((5, 5), bool)) == 16
+    square = regions.rays(np.ones((9, 9), bool))
+    assert square[0] == square[8] == square[16] == square[24] == 4  # up to, not on, the border
+    shape = np.zeros((12, 9), bool)
+    shape[1:11, 2:5], shape[8:11, 2:8] = True, True
+    p = regions.canonical_profile(regions.profile(regions.rays(shape)))
+    assert all(regions.canonical_profile(regions.profile(regions.rays(t))) == p for z in (shape, shape.T) for t in (np.rot90(z, k) for k in range(4)))
+
+
+def test_regions_silhouettes_and_families_do_not_know_turns():
+    from kindred.operators import regions
+
+    px = BASE[:96, :96].copy()
+    px[:20, :, 3], px[:, 80:, 3] = 0, 0
+    seen = []
+    for t in (px, px[:, ::-1], px[::-1], px.transpose(1, 0, 2)):
+        im = images.Indexed(np.ascontiguousarray(t))
+        r, s = regions.regions(im), regions.silhouette(im)
+        seen.append(([(x["area"], x["outline"], x["holes"], max(x["w"], x["h"])) for x in r], sorted(s["spread"]), s["fill"], s["outline"]))
+    assert all(x == seen[0] for x in seen) and len(seen[0][0]) == 8
+    a, b = (record(t) for t in (px, px[:, ::-1]))
+    import json
+
+    fa, fb = json.loads(a["families"]), json.loads(b["families"])
+    assert [len(fa[k]) for k in ("runs", "tone", "pal", "shape", "kpgeo")] == [16, 28, 24, 41, 23] if fa["kpgeo"] else True
+    assert all(fa[k] == fb[k] for k in ("runs", "tone", "pal", "shape"))
+    assert a["words"][1:] == b["words"][1:]
+
+
+def test_shape_and_silhouette_channels():
+    from kindred.operators import regions
+
+    im, other = images.Indexed(BASE), images.Indexed(busy(7))
+    a, b = regions.regions(im), regions.regions(other)
+    assert regions.shape_channel(a, a) == (10000, True) and regions.shape_channel(a, b)[0] < 9000
+    assert regions.shape_channel(a[:1], a) == (0, False) and regions.silhouette_channel(None, None) == (0, False)
+    px = BASE[:90, :90].copy()
+    px[:30, :50, 3] = 0
+    s = regions.silhouette(images.Indexed(px))
+    assert regions.silhouette_channel(s, s) == (10000, True)
