@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.bits import let
 from kindred.llm._common import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -86,18 +87,25 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose positions are summed one by one; of more, blocks of so many are summed first, so that long texts take no square of their matches.
+BLOCK = 64
+
+
 def _located(text: Column, form: str) -> Column:
     """Array of (start, end, said) of the form's matches, in code points: positions are sums of the lengths of the matches and of what is between."""
     between, found = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    step = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("said"))
+    step = F.transform(F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("said")), lambda m: F.struct(F.char_length(m["gap"]).alias("gap"), F.char_length(m["said"]).alias("long"), m["said"].alias("said")))
     empty = F.array().cast("array<struct<start:int,end:int,said:string>>")
 
     def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.char_length(m["gap"])
-        end = start + F.char_length(m["said"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), m["said"].alias("said"))).alias("out"))
+        start = acc["at"] + m["gap"]
+        return F.struct((start + m["long"]).alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), (start + m["long"]).alias("end"), m["said"].alias("said"))).alias("out"))
+
+    def placed(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(steps) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda rows: let(F.transform(rows, lambda r: F.aggregate(r, F.lit(0), lambda acc, m: acc + m["gap"] + m["long"])), lambda sums: F.flatten(F.transform(rows, lambda r, b: F.aggregate(r, F.struct(F.aggregate(F.call_function("slice", sums, F.lit(1), b), F.lit(0), lambda acc, n: acc + n).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])))))
 
-    return F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    return let(step, placed)
 
 
 def _possible(kind: str, text: Column) -> Column:
@@ -111,10 +119,26 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(_possible(kind, text), F.filter(_located(text, FORMS[kind]), lambda m: _valid(kind, m["said"]))).otherwise(empty)
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
+#: Characters of a text's pieces, and of the neighbourhood of a span, by which pieces overlap.
+PIECE, REACH = 2048, 72
+
+
+def _pieces(text: Column) -> Column:
+    """Overlapping pieces: what is beside a span is taken from one of them, not by counting characters from the text's start."""
+    last = F.greatest(F.ceil(F.char_length(text) / PIECE).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.substring(text, b * PIECE + 1, F.lit(PIECE + REACH)))
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` characters, ``REACH`` at most, from ``start`` on, counted from 0; fewer at the end."""
+    at = F.floor(start / PIECE).cast("int")
+    return F.coalesce(F.substring(F.get(pieces, at), start - at * PIECE + 1, length), F.lit(""))
+
+
+def _contexts(pieces: Column, start: Column, end: Column) -> Column:
     """The patterns: the words beside a span, lower case, digits made equal, with the number of their kind of context; fewer at a text's ends."""
-    left = F.substring(text, F.greatest(start - 71, F.lit(1)), F.least(start, F.lit(72)))
-    right = F.substring(text, end + 1, F.lit(72))
+    left = _part(pieces, F.greatest(start - REACH, F.lit(0)), F.least(start, F.lit(REACH)))
+    right = _part(pieces, end, F.lit(REACH))
     found = (F.regexp_extract(near, form, 1) for near, form in ((left, LEFT), (left, NEAR), (right, RIGHT)))
     named = (F.when(words != "", F.concat(F.lit(f"{i}:"), F.regexp_replace(F.lower(words), "[0-9]+", "0"))) for i, words in enumerate(found))
     return F.array_compact(F.array(*named))
@@ -132,10 +156,10 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
     """For each document ``doc_id``, ``base`` and ``spans``, arrays of (kind number, start, end) in order, and ``secrets`` of the same form."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id"), text.alias("text")).select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in FORMS))
-    found = found.select("doc_id", "text", F.concat(*(_tagged(k, i) for i, k in enumerate(FORMS))).alias("base"))
+    found = found.select("doc_id", "text", _pieces(F.col("text")).alias("pieces"), F.concat(*(_tagged(k, i) for i, k in enumerate(FORMS))).alias("base"))
     looks = F.when(F.col("text").rlike("[0-9@:]"), _located(F.col("text"), CANDIDATE))
     free = F.filter(looks, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    placed = lambda spans, kind: F.transform(spans, lambda m: F.struct(kind(m).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["said"].alias("said"), _contexts(F.col("text"), m["start"], m["end"]).alias("patterns")))
+    placed = lambda spans, kind: F.transform(spans, lambda m: F.struct(kind(m).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["said"].alias("said"), _contexts(F.col("pieces"), m["start"], m["end"]).alias("patterns")))
     # what the rounds need is far smaller than the text; with the lineage cut here the text is read once
     marked = cut_lineage(
         found.select(
