@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 LONGEST = 40
 #: Bytes of text in a block.
-BLOCK = 12 << 20
+BLOCK = 10 << 20
 _models: dict[str, "Pieces"] = {}
 
 
@@ -266,7 +266,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", back: bool = False)
             sums = [(r, _sum(text), len(words)) for r, words, text in full]
             about = _pack((keys, [len(x) for x in lists], sums, others, _planes(places), _planes(rank[at])))
             blobs = [*(_pack(text) for _, _, text in full), about]
-            yield pa.RecordBatch.from_arrays([pa.array([*(r for r, _, _ in full), -1 - block], pa.int64()), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
+            made = pa.RecordBatch.from_arrays([pa.array([*(r for r, _, _ in full), -1 - block], pa.int64()), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
+            # nothing of this block is held while the next one is read
+            del keys, texts, number, lists, at, usual, others, full, place, order, rank, places, sums, about, blobs
+            yield made
+            del made
 
     # words and documents lie in one shuffle; its three readers take all columns and rows, so that Spark makes it once
     sent = rows.mapInArrow(gather, "r long, block long, blob binary").repartition(width, "r")
