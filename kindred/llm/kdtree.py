@@ -5,7 +5,9 @@ bounding boxes. A query goes through a tree best first: by the greatest inner pr
 is below the k-th score known. The k-th score is carried on: every query first meets one shard, and takes its k-th
 best score along to all others, where it prunes from the start.
 
-Shards hold ``SHARD`` vectors and query blocks ``BLOCK`` queries at most on average; a task holds one of each.
+A task holds one shard and one block of queries. Every vector is sent once for each block and every query once for each
+shard, so both are as large as memory allows: ``SHARD_BYTES`` and ``BLOCK_BYTES`` of components on average, whatever the
+vectors' length. Tables of less than that are cut into shards of ``LEAST`` vectors, to keep the tasks of a shuffle busy.
 
 Defined cases: vectors that are null or hold nulls or components that are not finite take no part, nor do null ids;
 vectors are compared with those of their own length; equal rows (id and vector) count once, and a query's candidates
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 
 from kindred.llm._common import shared_table
 
-LEAF, SHARD, BLOCK = 128, 8192, 2048
+LEAF = 128
+SHARD_BYTES, BLOCK_BYTES, LEAST = 32 << 20, 8 << 20, 8192
+#: Queries whose bounds for all nodes are held at once.
+STEP = 512
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -102,9 +107,10 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         exact = np.float64 if reach < 2**52 else object  # doubles hold these integers exactly, or Python's integers do
         points, queries = points.astype(exact), queries.astype(exact)
         tree = Tree(points, left.column("vec_id").to_numpy())
-        bounds = tree.bounds(queries)
         for i, (own, floor) in enumerate(zip(right.column("query_id").to_pylist(), right.column("floor").to_pylist(), strict=True)):
-            for score, other in tree.search(queries[i], own, bounds[i], k, floor):
+            if i % STEP == 0:
+                bounds = tree.bounds(queries[i : i + STEP])
+            for score, other in tree.search(queries[i], own, bounds[i % STEP], k, floor):
                 for column, x in zip(found, (own, -other, max(-(2**63), min(2**63 - 1, int(score)))), strict=True):
                     column.append(x)
     return pa.table([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
@@ -125,8 +131,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` (vec_id, embedding) that ``queries`` picks."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_vector(F.col("embedding"), scale).alias("v"), queries.alias("asks"))
     v = shared_table(v.where("v IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v")))
-    n, n_asks = v.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asks // BLOCK))
+    long = F.lit(8) * (F.col("dim") + 1)  # bytes of a vector and its id
+    n, size, asking = v.agg(F.count("*"), F.coalesce(F.sum(long), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), long)), F.lit(0))).first()
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-size // SHARD_BYTES), min(width, -(-n // LEAST)))
+    blocks = max(1, -(-asking // BLOCK_BYTES))
     points = v.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
     asked = v.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("dim"), F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int").alias("block"))
 

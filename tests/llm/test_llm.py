@@ -171,6 +171,25 @@ def test_top_k_is_exact(spark):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_over_many_shards_and_blocks(spark, monkeypatch):
+    """Vectors of several lengths, with shards and blocks of a few vectors and bounds of a few queries at once."""
+    monkeypatch.setattr(kdtree, "SHARD_BYTES", 2500)
+    monkeypatch.setattr(kdtree, "BLOCK_BYTES", 1200)
+    monkeypatch.setattr(kdtree, "STEP", 3)
+    monkeypatch.setattr(kdtree, "LEAF", 4)
+    pick = random.Random(4)
+    rows = [(i, [pick.uniform(-2, 2) for _ in range(pick.choice((3, 3, 8)))]) for i in range(240)]
+    rows += [(240 + i, [1.0, 1.0, 1.0]) for i in range(120)]  # one vector is a third of all rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in kdtree.top_k(df, F.col("vec_id") % 5 == 0, k=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows}
+    for q in (i for i in whole if i % 5 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:4]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 # ---- 5
 def windows(items):
     out: dict = {}
