@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the shared tables, as (file system, path), that are still there.
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: like ``cut_lineage``, but compressed and with columns that can be left out."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kindred-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read again: like ``cut_lineage``, but compressed and with columns that can be left out.
+
+    The folder goes when the driver's process ends, or with ``discard`` where it is known that nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kindred-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.deleteOnExit(folder)
+    _folders[table] = files, folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of shared tables; every frame made from them must have been written before. Other frames stay."""
+    for table in tables:
+        files, folder = _folders.pop(table, (None, None))
+        if files is not None:
+            files.delete(folder, True)
+            files.cancelDeleteOnExit(folder)
 
 
 def plain_scan(df: DataFrame) -> bool:

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm._common import free_name, plain_scan, release, shared_table
+from kindred.llm._common import discard, free_name, plain_scan, release, shared_table
 
 SHINGLE = 5
 #: Sets that hold a token, up to which it is rare.
@@ -491,12 +491,16 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = _prefix_table(docs)
     release(spark)
     rows, sets = table.where("uid IS NOT NULL").select("uid", "doc_id", "sid", "n"), table.where("uid IS NULL")
-    held = shared_table(_held(shared_table(_index(sets))))
-    near = shared_table(components(_verified(_tries(held, width), sets)))
+    index = shared_table(_index(sets))
+    named = shared_table(_held(index))
+    discard(index)
+    near = shared_table(components(_verified(_tries(named, width), sets)))
     release(spark)
-    held = shared_table(held.select("key", "sid").join(near.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
+    held = shared_table(named.select("key", "sid").join(near.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
+    discard(named)
     mixed = shared_table(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("least")).where("lo <> hi").select("key", "least"))
     rest = shared_table(held.join(mixed, "key").select("sid", "comp", "least").distinct())
+    discard(held, mixed)
     joined = components(_across(rest, sets))
     release(spark)
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, kdtree, linedup, ngram_join, pii, quality, queries, sentencepiece_lattice, token_counts, warc
+from kindred.llm import _common, chat, decontaminate, kdtree, linedup, ngram_join, pii, quality, queries, sentencepiece_lattice, token_counts, warc
 
 CLASH = ["n_words", "hit_spans", "hit_items", "__gone", "__doc", "__kept", "__n", "__place", "n_lines", "n_dropped", "score", "held_out", "predicted", "uid", "sid", "comp", "key", "doc", "a", "b", "base", "spans", "kind", "ids", "N_Tokens", "n_chars"]
 LONG = "\n".join(f"line {i % 700} of a very long text, word{i}" for i in range(12_000))
@@ -247,3 +250,22 @@ def test_formatted_length(spark, sf):
         whole = "".join(turn(r[2], r[3]) for r in rows if r[0] == conv)
         assert got[conv].formatted_chars == len(whole)
     assert Tokenizer.from_file(path) is not None
+
+
+def test_shared_tables_go(spark, tmp_path):
+    """A discarded table is gone at once, other frames are left alone, and the rest goes with the process."""
+    table = _common.shared_table(spark.range(5).toDF("n"))
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 5 and folder.exists()
+    spark.range(3).write.parquet(str(tmp_path / "kept"))
+    _common.discard(table, spark.read.parquet(str(tmp_path / "kept")))
+    assert not folder.exists() and (tmp_path / "kept").exists()
+    _common.discard(table)
+    code = (
+        "import sys; from pyspark.sql import SparkSession; from kindred.llm import _common\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[1]).getOrCreate()\n"
+        "assert _common.shared_table(s.range(4)).count() == 4"
+    )
+    shared = tmp_path / "shared"
+    subprocess.run([sys.executable, "-c", code, str(shared)], cwd=Path(_common.__file__).parents[2], check=True, capture_output=True)
+    assert shared.exists() and not list(shared.glob("kindred-*"))
