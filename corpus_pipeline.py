@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm._common import free_name, shared_table, table
+from kindred.llm._common import discard, free_name, shared_table, table
 from kindred.llm.decontaminate import decontaminate
 from kindred.llm.linedup import dedup_lines
 from kindred.llm.ngram_join import one_of_each
@@ -73,5 +73,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
+        before, docs = docs, shared_table(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
