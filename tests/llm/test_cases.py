@@ -238,6 +238,32 @@ def test_scores_are_those_of_a_plain_fit(spark, sf):
         assert got[i] == pytest.approx(1 / (1 + 0.7 / 0.3 * np.exp(np.clip(-raw, -500, 500))), abs=1e-6)
 
 
+def test_all_rows_and_all_pairs_teach(spark):
+    """More rows and pairs than any sample: the slope over all pairs is nothing, and the threshold parts all rows."""
+    dice = random.Random(3)
+    texts = [" ".join(dice.choice(["Word", "word", "a1", "9", "of", "THE", "end.", "x|", "!"]) for _ in range(dice.randint(1, 30))) for _ in range(30_000)]
+    rows = [(i, t, int(dice.random() < 0.5 + 0.4 * (t.count("word") > t.count("9")))) for i, t in enumerate(texts)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = both.select("doc_id", "text"), both.select("doc_id", "quality")
+    model = quality.fit(docs, labels)
+    taught = both.where(~quality.held_out(F.col("doc_id"))).collect()
+    x, y = np.array([quality.features(r.text) for r in taught]), np.array([r.quality for r in taught])
+    assert len(y) > 20_000 and (y == 1).sum() * (y == 0).sum() > quality.PAIRS
+    z = (np.concatenate([x, x[:, :-1] ** 2], 1) - model.mean) / model.scale
+    s = z @ model.weights
+    (good, bad), (of_good, of_bad) = (z[y == 1], z[y == 0]), (s[y == 1], s[y == 0])
+    slope = np.zeros(len(model.weights))
+    for i in range(0, len(good), 500):
+        wrong = 1 / (1 + np.exp(of_good[i : i + 500, None] - of_bad[None, :]))
+        slope += wrong.sum(1) @ good[i : i + 500] - wrong.sum(0) @ bad
+    assert np.abs(slope / len(good) / len(bad) - quality.RIDGE * model.weights).max() < 1e-7
+    ranked = np.sort(s)
+    assert model.threshold == pytest.approx((ranked[len(bad) - 1] + ranked[len(bad)]) / 2, abs=1e-9)
+    # however the rows lie, the scores are the same to the bit
+    scores = lambda d: {r.doc_id: r.score for r in quality.score_quality(d, labels).collect()}
+    assert scores(docs) == scores(docs.repartition(5, F.rand(1)))
+
+
 def test_formatted_length(spark, sf):
     """``formatted_chars`` is the length of the template's own text."""
     from tokenizers import Tokenizer
