@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import ints, mixers
-from kindred.operators import evidence, keypoints, signatures, store
+from kindred.operators import evidence, keypoints, signatures, store, tiles
 from kindred.plans.catalogue import _CODES, _DESC, _WHOLE, _codes, _met, _parts, _stored, _STORED, _t, query
 
 # ---- mixers and keys ----
@@ -248,7 +248,7 @@ def local_evidence(spark, sf):
     points = _points(spark, sf).join(_codes(spark, sf).select(ints.idiv(F.col("id"), 64).alias("work"), (F.col("id") % 64).cast("int").alias("part"), "code"), ["work", "part"])
     rows = F.array_sort(F.collect_list(F.struct("part", "code", "x", "y")))
     bags = points.groupBy("work").agg(rows.alias("r")).select("work", F.col("r.code").alias("codes"), F.col("r.x").alias("x"), F.col("r.y").alias("y"))
-    return evidence.local_evidence(_met(spark, sf), bags)
+    return evidence.local_evidence(_met(spark, sf), bags, tiles.width(points.count()))
 
 
 @query()
