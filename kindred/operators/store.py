@@ -99,6 +99,15 @@ def frequency_change(df: DataFrame, added: DataFrame, removed: DataFrame) -> Dat
     return all_.groupBy("kind", "key").agg(F.sum("d").alias("n")).where("n > 0")
 
 
+def frequencies_after(postings: DataFrame, changes: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``frequency_change`` where all changes are of the same postings: these are read and placed by key once.
+
+    ``changes`` tells which postings each change is about, and what it adds to their keys' frequencies.
+    """
+    moved = sum((F.when(about, by).otherwise(0) for about, by in changes.values()), F.lit(0)).cast("long")
+    return postings.select("kind", "key", moved.alias("d")).groupBy("kind", "key").agg(F.sum("d").alias("n")).where("n > 0")
+
+
 def transitions(old: DataFrame, new: DataFrame, key: list[str], kind: str, state: str) -> DataFrame:
     """``kind, old, new, n``: how the states of the same rows moved from one calibration to the other."""
     both = old.select(*key, F.col(kind).alias("kind"), F.col(state).alias("old")).join(new.select(*key, F.col(state).alias("new")), key)
