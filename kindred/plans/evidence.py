@@ -218,7 +218,7 @@ def _correspondences(spark, sf) -> DataFrame:
 @query(f"WITH {_CELLS} SELECT s, cell, mass, members, confidence FROM p WHERE r = 1")
 def vote_peaks(spark, sf):
     """The transformation that most of a supplier's correspondences vote for."""
-    return evidence.vote_peaks(evidence.vote_cells(_correspondences(spark, sf)), ["s"])
+    return evidence.peaks_of_pairs(_correspondences(spark, sf), "s")
 
 
 @query()
