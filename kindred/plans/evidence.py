@@ -224,8 +224,8 @@ def vote_peaks(spark, sf):
 @query()
 def verified_transforms(spark, sf):
     """The peaks' transformations, fitted and checked."""
-    votes = evidence.vote_cells(_correspondences(spark, sf))
-    return evidence.verified(votes, evidence.vote_peaks(votes, ["s"]), ["s"])
+    rows = _correspondences(spark, sf)
+    return evidence.verified_pairs(rows, evidence.peaks_of_pairs(rows, "s"), "s")
 
 
 _PAIRED = f"{_CODES}, o AS (SELECT id // 64 AS work, code, (code >> 48) & 65535 AS k FROM codes), pairs AS (SELECT DISTINCT x.work AS a, y.work AS b FROM o x JOIN o y ON x.k = y.k AND x.work < y.work)"
