@@ -6,10 +6,15 @@ of its bands. A posting key is the family's number above 24 bits of lane and val
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.ints import idiv
+from kindred.operators import tiles
 
 CODE_BITS, BANDS, FAMILIES, LOCAL, BAND = 53, 10, 6, 6, 7
 #: Bits that a code of use has at least and at most; the band that all-equal bits give.
@@ -55,20 +60,49 @@ def plans(signatures: DataFrame, near: Column, own: tuple[int, int, int], bands:
     return exact.unionByName(beside.select("query", (F.shiftleft("fam", 24) + F.col("cell")).alias("k"), "fam", F.lit(own[1] - own[0]).alias("w")))
 
 
-def search(probes: DataFrame, postings: DataFrame, works: DataFrame, asked: DataFrame, own: tuple[int, int, int], bands: tuple[int, int, int, int], threshold: int, budget: int) -> DataFrame:
+def search(probes: DataFrame, postings: DataFrame, works: DataFrame, asked: DataFrame, own: tuple[int, int, int], bands: tuple[int, int, int, int], threshold: int, budget: int, size: int = tiles.GRID) -> DataFrame:
     """``query, id, score, rank``: what the probes touch, scored over the families that both sides have.
 
-    ``works`` and ``asked`` are (id, present). Keys meet once and only sums come back; the base of each pair of masks
-    follows from the bits that both have.
+    ``works`` and ``asked`` are (id, present). Probes and postings meet in the cells of a grid: a query's probes add up
+    over the postings of a cell's works, and a cell gives no more than the budget for each query. The base of each pair
+    of masks follows from the bits that both have.
     """
-    hits = probes.join(postings, "k").where(F.col("query") != F.col("id"))
-    cells, lanes = F.col("fam") < FAMILIES, lambda f: F.count_if(F.col("fam") == f)
-    summed = hits.groupBy("query", "id").agg(F.coalesce(F.sum(F.when(cells, F.col("w"))), F.lit(0)).alias("ex"), lanes(LOCAL).alias("nl"), lanes(BAND).alias("nb"))
-    both = summed.join(works.select("id", F.col("present").alias("theirs")), "id").join(asked.select(F.col("id").alias("query"), F.col("present").alias("ours")), "query")
-    mask = F.col("theirs").bitwiseAND(F.col("ours"))
-    base = sum((bit(mask, f) * own[0] for f in range(FAMILIES)), F.lit(0)) + bit(mask, LOCAL) * bands[0] + bit(mask, BAND) * bands[0]
-    level = lambda n: F.when(F.col(n) == 0, 0).when(F.col(n) == 1, bands[1] - bands[0]).when(F.col(n) <= 3, bands[2] - bands[0]).otherwise(bands[3] - bands[0])
-    scored = both.select("query", "id", (F.col("ex") + level("nl") + level("nb") + base).cast("int").alias("score")).where(F.col("score") >= threshold)
+    level = [0, bands[1] - bands[0], bands[2] - bands[0], bands[2] - bands[0], bands[3] - bands[0]]
+    base = np.array([sum(own[0] if f < FAMILIES else bands[0] for f in range(BAND + 1) if m >> f & 1) for m in range(1 << BAND + 1)])
+
+    def found(ours: pa.Table, theirs: pa.Table, _: pa.Table) -> Iterator[list[np.ndarray]]:
+        ids = tiles.whole(theirs["id"])
+        order = np.argsort(ids, kind="stable")
+        ids, present = ids[order], tiles.whole(theirs["present"])[order]
+        posted, there = (m[order] for m in tiles.matrix(theirs["keys"]))
+        at, _lane = np.nonzero(there)
+        keys = posted[there]
+        by = np.argsort(keys, kind="stable")
+        keys, at = keys[by], at[by]
+        (probe, some), (weight, _) = tiles.matrix(ours["keys"]), tiles.matrix(ours["w"])
+        lo, hi = np.searchsorted(keys, probe), np.searchsorted(keys, probe, "right")
+        for row, (query, mine) in enumerate(zip(tiles.whole(ours["id"]).tolist(), tiles.whole(ours["present"]).tolist(), strict=True)):
+            ex, lanes, touched = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)), np.int64), np.zeros(len(ids), bool)
+            for p in np.flatnonzero(some[row] & (hi[row] > lo[row])):
+                hit, family = at[lo[row, p] : hi[row, p]], int(probe[row, p]) >> 24
+                touched[hit] = True
+                if family < FAMILIES:
+                    np.add.at(ex, hit, weight[row, p])
+                else:
+                    np.add.at(lanes[family - LOCAL], hit, 1)
+            hit = np.flatnonzero(touched & (ids != query))
+            score = ex[hit] + np.take(level, np.minimum(lanes[0, hit], 4)) + np.take(level, np.minimum(lanes[1, hit], 4)) + base[present[hit] & mine & (len(base) - 1)]
+            hit, score = hit[score >= threshold], score[score >= threshold]
+            best = np.lexsort([hit, -score])[:budget] if len(hit) <= budget else np.argpartition(hit - score * len(ids), budget)[:budget]
+            yield [np.full(len(best), query), ids[hit[best]], score[best]]
+
+    listed = probes.groupBy(F.col("query").alias("id")).agg(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), F.col("w").cast("long").alias("w"))).alias("p"))
+    held = postings.groupBy("id").agg(F.collect_list(F.col("k").cast("long")).alias("keys"))
+    mask = F.col("present").cast("long").alias("present")
+    left = asked.select("id", mask).join(listed.select("id", F.col("p.k").alias("keys"), F.col("p.w").alias("w")), "id")
+    right = works.select("id", mask).join(held, "id").withColumn("w", F.lit(None).cast("array<bigint>"))
+    schema = [("query", np.int64), ("id", np.int64), ("score", np.int32)]
+    scored = tiles.meet(left, right, lambda *cell: tiles.batched(found(*cell), schema), "query long, id long, score int", size)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= budget)
 

@@ -93,7 +93,7 @@ def si_index_query(spark, sf):
     """The index's plan rows against its postings; the SQL compares every pair by the definition."""
     sig = _signatures(spark, sf)
     asked = sig.where("id % 50 = 0")
-    return signatures.search(signatures.plans(asked, _near(), _OWN, _BANDS), signatures.posting_keys(sig), sig, asked, _OWN, _BANDS, threshold=-40, budget=50)
+    return signatures.search(signatures.plans(asked, _near(), _OWN, _BANDS), signatures.posting_keys(sig), sig, asked, _OWN, _BANDS, threshold=-40, budget=50, size=tiles.width(sig.count()))
 
 
 @query(f"WITH {_SIG}, p AS {_POSTINGS} SELECT CAST(k // 16777216 AS INT) AS fam, count(*) AS postings, count(DISTINCT k) AS keys FROM p WHERE id % 3 <> 0 OR id % 6 = 0 GROUP BY fam")
